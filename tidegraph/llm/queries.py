@@ -1,2 +1,50 @@
-QUERIES = {}
-SQL = {}
+"""Queries pN_ on text collections. Tokenizers and trees have no SQL; their tests are in tests/llm."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegraph.llm.mixing import Target, kept, mix, mix_report
+from tidegraph.llm.packing import pack_items, pack_report
+from tidegraph.llm.spam import spam_pages
+from tidegraph.llm.tokens import token_counts
+from tidegraph.sources.tables import table
+
+_MOST_NAMES = 1000  # pack_sizes and mix_targets are fixed tables of a few rows
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    rows = table(spark, sf_dir, "pack_sizes").groupBy("pack_name").agg(F.max("capacity_tokens").alias("c")).where("c > 0").limit(_MOST_NAMES).collect()
+    return sorted((r["pack_name"], r["c"]) for r in rows)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[Target]:
+    rows = table(spark, sf_dir, "mix_targets").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m")).limit(_MOST_NAMES).collect()
+    return [Target(r["source"], r["w"], r["m"]) for r in sorted(rows, key=lambda r: r["source"])]
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_items(token_counts(table(spark, sf_dir, "documents"), ["doc_id"]), _packs(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_report(p6_packed(spark, sf_dir), _packs(spark, sf_dir))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(token_counts(table(spark, sf_dir, "documents"), ["source", "doc_id"]), _targets(spark, sf_dir))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(kept(p7_mixture(spark, sf_dir)), _targets(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "page_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packed, p6_report, p7_mixture, p7_report, p8_found)}
+SQL: dict[str, str] = {}
