@@ -153,7 +153,7 @@ def spam_scores(pages: DataFrame, labels: DataFrame, host: str = "source", trees
     return scored.join(rates, F.col("host").eqNullSafe(F.col("_host"))).select("doc_id", "host", "score", ((1 - weight) * F.col("score") + weight * F.col("rate")).alias("smoothed"))
 
 
-def spam_pages(pages: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def spam_pages(pages: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
     """``doc_id`` of the pages whose smoothed score is at least ``threshold``."""
     scores = spam_scores(pages, labels)
     if scores is None:
