@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.distance import symbolic
-from tidegraph.operators.graph import both_ways, degrees, edge_jaccard, finite, spanning_trees
+from tidegraph.operators.graph import betweenness, both_ways, degrees, edge_jaccard, finite, hubs, spanning_trees, tree_paths
 from tidegraph.operators.symbols import symbolize, thresholds
+from tidegraph.plans.runtime import cut_lineage
 
 
 def distance_correlation(edges: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def tree_agreement(trees: DataFrame) -> DataFrame:
 
 
 def leave_one_out(edges: DataFrame, top: int = 5) -> DataFrame:
-    """``excluded, degree, new_ntl, n_edges, jaccard``: the tree without each of the ``top`` nodes of highest degree (ties by name).
+    """``excluded, degree, new_hub, new_hub_degree, new_ntl, n_edges, jaccard``: the tree without each of the ``top`` nodes of highest degree (ties by name).
 
     Distances of other pairs don't change, so they are used again. The Jaccard index is against the first tree's edges without the node.
     """
@@ -37,10 +38,12 @@ def leave_one_out(edges: DataFrame, top: int = 5) -> DataFrame:
     best = degrees(tree).withColumn("k", F.row_number().over(Window.orderBy(F.desc("degree"), "node"))).where(F.col("k") <= top).select(F.col("node").alias("excluded"), "degree")  # one row a node
     out = F.broadcast(best)
     without = lambda df: df.join(out, (F.col("i") != F.col("excluded")) & (F.col("j") != F.col("excluded")))
-    fresh = spanning_trees(without(finite(edges)).select("excluded", "i", "j", "w"), ("excluded",))
+    fresh = cut_lineage(spanning_trees(without(finite(edges)).select("excluded", "i", "j", "w"), ("excluded",)))
+    key = ("excluded",)
+    hub = hubs(degrees(fresh, key), betweenness(tree_paths(fresh, key), key), key).select("excluded", F.col("hub").alias("new_hub"), F.col("hub_degree").alias("new_hub_degree"))
     mean = fresh.groupBy("excluded").agg(F.avg("w").alias("new_ntl"), F.count("*").alias("n_edges"))
     met = edge_jaccard(without(tree.select("i", "j")).select("excluded", "i", "j"), fresh.select("excluded", "i", "j"), ("excluded",))
-    return best.join(mean, "excluded").join(met.select("excluded", "jaccard"), "excluded")
+    return best.join(hub, "excluded").join(mean, "excluded").join(met.select("excluded", "jaccard"), "excluded")
 
 
 def partition_robustness(returns: DataFrame, pairs: list[tuple[str, float, float]], least: int, min_common: int) -> DataFrame:

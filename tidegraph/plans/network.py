@@ -410,9 +410,10 @@ def convergence_trees(spark, sf_dir):
 
 
 @query(_MT + f""", {_degrees()}, best AS (SELECT node AS excluded, degree FROM deg ORDER BY degree DESC, node LIMIT 5),
-dw AS (SELECT excluded, i, j, w FROM d JOIN best ON i <> excluded AND j <> excluded), {_tree("dw", "nt", "excluded")}
-SELECT excluded, any_value(degree) AS degree, round(avg(nt.w), 6) AS new_ntl, count(*) AS n_edges,
- round(count(t.w) / (count(*) + (SELECT count(*) FROM tree q WHERE q.i <> excluded AND q.j <> excluded) - count(t.w)), 6) AS jaccard FROM nt JOIN best USING (excluded) LEFT JOIN tree t ON t.i = nt.i AND t.j = nt.j GROUP BY excluded""")
+dw AS (SELECT excluded, i, j, w FROM d JOIN best ON i <> excluded AND j <> excluded), {_tree("dw", "nt", "excluded")}, {_paths("nt", "np", "excluded")}, {_degrees("nt", "nd", "excluded")}, {_between("np", "nb", "excluded")},
+nh AS (SELECT excluded, arg_min(node, {{'a': -nd.degree, 'b': -round(betweenness, 9), 'c': node}}) AS new_hub, max(nd.degree) AS new_hub_degree FROM nd JOIN nb USING (excluded, node) GROUP BY excluded)
+SELECT excluded, any_value(degree) AS degree, any_value(new_hub) AS new_hub, any_value(new_hub_degree) AS new_hub_degree, round(avg(nt.w), 6) AS new_ntl, count(*) AS n_edges,
+ round(count(t.w) / (count(*) + (SELECT count(*) FROM tree q WHERE q.i <> excluded AND q.j <> excluded) - count(t.w)), 6) AS jaccard FROM nt JOIN best USING (excluded) JOIN nh USING (excluded) LEFT JOIN tree t ON t.i = nt.i AND t.j = nt.j GROUP BY excluded""")
 def leave_one_out(spark, sf_dir):
     return _r(robustness.leave_one_out(cut_lineage(distances(brand_returns(spark, sf_dir), "mantegna"))), "new_ntl", "jaccard")
 
