@@ -13,7 +13,6 @@ A page without words is no spam; a page labelled both ways counts once for eithe
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,10 +33,13 @@ MAX_WORDS = 20_000
 WINDOW = 20
 FEATURES = (
     "filler_windows", "filler_half", "mean_odds", "low_odds", "spam_words", "page_words", "number_words", "distinct_words", "distinct_pairs", "top_word",
-    "links", "link_text", "tags", "sentence_ends", "words_a_line", "packed_size", "log_words",
+    "links", "link_text", "tags", "sentence_ends", "words_a_line", "words_an_item", "numbered_items", "packed_size", "log_words",
 )
-_WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|test|example|invalid)\b\S*|</?a\b[^>]*>", re.IGNORECASE)
+# What marks a word of a page as a link or an address of a site.
+_LINK_MARKS = (b"://", b"www.", b"href", b".com", b".org", b".net", b".info", b".biz", b".test", b".example", b".invalid")
+#: ASCII punctuation parts words; bytes beyond ASCII stay in them.
+_TO_WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+_TO_ITEMS = bytes(10 if chr(c) in ";,|\t\r" else c for c in range(256))
 
 
 def lexicon(labelled: DataFrame, least: int = 4) -> dict[str, float]:
@@ -50,54 +52,61 @@ def lexicon(labelled: DataFrame, least: int = 4) -> dict[str, float]:
 
 
 class Odds(dict):
-    """Log odds of words, 0 for a word not in the lexicon."""
+    """Log odds of words (UTF-8, lower case), 0 for a word not in the lexicon."""
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: bytes) -> float:
         return 0.0
 
 
 def page_features(text: str | None, odds: Odds) -> list[float]:
     """The features of one whole page, in the order of ``FEATURES``."""
-    text = text or ""
-    words = _WORD.findall(text.lower())
+    raw = (text or "").lower().encode("utf-8", "replace")
+    words = raw.translate(_TO_WORDS).split()
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
     score = np.fromiter(map(odds.__getitem__, words), float, n)
-    cuts = np.linspace(0, n, max(1, n // WINDOW) + 1).astype(int)
-    window = np.add.reduceat(score, cuts[:-1]) / np.diff(cuts)
+    k = max(1, n // WINDOW)
+    cuts = np.arange(k + 1) * n // k
+    window = np.sort(np.add.reduceat(score, cuts[:-1]) / np.diff(cuts))
     count = Counter(words)
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    links = _LINK.findall(text) if "." in text or "<" in text else []
-    raw = text.encode("utf-8", "replace")
+    marks = [m for m in _LINK_MARKS if m in raw]
+    links = [w for w in raw.split() if any(m in w for m in marks)] if marks else []
+    items = raw.replace(b"\xe2\x80\xa2", b"\n").replace(b" - ", b"\n").replace(b" / ", b"\n").translate(_TO_ITEMS).split(b"\n")
     return [
-        float((window > 0.3).mean()),
-        float((window > 0.7).mean()),
-        float(score.mean()),
-        float(np.quantile(window, 0.3)),
-        float((score > 1).mean()),
-        float((score < -1).mean()),
+        (k - int(np.searchsorted(window, 0.3, "right"))) / k,
+        (k - int(np.searchsorted(window, 0.7, "right"))) / k,
+        float(score.sum()) / n,
+        float(window[3 * k // 10]),
+        np.count_nonzero(score > 1) / n,
+        np.count_nonzero(score < -1) / n,
         sum(c for w, c in count.items() if w.isdigit()) / n,
         len(count) / n,
-        pairs / n,
+        len(set(zip(words, words[1:], strict=False))) / n,
         max(count.values()) / n,
         len(links) / n,
-        sum(map(len, links)) / len(text),
-        (text.count("#") + text.count("tag:") + text.count("SKU")) / n,
-        (text.count(". ") + text.count(".\n") + text.count("? ")) / n,
-        min(1.0, n / (1 + text.count("\n")) / 50),
+        sum(map(len, links)) / len(raw),
+        (raw.count(b"#") + raw.count(b"tag:") + raw.count(b"sku")) / n,
+        (raw.count(b". ") + raw.count(b".\n") + raw.count(b"? ")) / n,
+        min(1.0, n / (1 + raw.count(b"\n")) / 50),
+        min(1.0, n / len(items) / 25),
+        sum(map(_numbered, items)) / len(items),
         len(zlib.compress(raw, 1)) / len(raw),
         float(np.log1p(n)),
     ]
 
 
+def _numbered(item: bytes) -> bool:
+    return item.lstrip()[:1].isdigit()
+
+
 def featured(pages: DataFrame, keep: list[str], odds: dict[str, float]) -> DataFrame:
     """``keep`` and the features of every page."""
     shared = pages.sparkSession.sparkContext.broadcast(odds)  # at most MAX_WORDS entries
 
     @F.pandas_udf("array<double>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Odds(shared.value)
+        known = Odds({word.encode(): odd for word, odd in shared.value.items()})
         for texts in batches:
             yield pd.Series([page_features(t, known) for t in texts])
 
@@ -106,13 +115,13 @@ def featured(pages: DataFrame, keep: list[str], odds: dict[str, float]) -> DataF
     return rows.select(*keep, *(F.col("_f")[k].alias(name) for k, name in enumerate(FEATURES)))
 
 
-def _forest(train: DataFrame, trees: int, depth: int):
-    """Bagged trees; a leaf holds at least a tenth of the spam pages, so single wrong labels can't be learned by heart. None if a label is missing."""
+def _forest(train: DataFrame, trees: int, depth: int, least: int | None = None):
+    """Bagged trees with ``least`` pages in a leaf; by default a tenth of the spam pages, so single wrong labels can't be learned by heart. None if a label is missing."""
     n = train.groupBy().agg(F.count_if("spam").alias("s"), F.count_if(~F.col("spam")).alias("p")).first()
     if not n["s"] or not n["p"]:
         return None
     rows = _gather().transform(train).select(F.col("spam").cast("double").alias("label"), "features")
-    least = max(1, min(50, n["s"] // 10))
+    least = least or max(1, min(50, n["s"] // 10))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=7, featureSubsetStrategy="sqrt").fit(rows)
 
 
@@ -141,9 +150,13 @@ def spam_scores(pages: DataFrame, labels: DataFrame, host: str = "source", trees
     model = _forest(first.where(F.col("spam").isNotNull()), trees, depth)
     if model is None:
         return None
-    sure = _chance(model, first).where((F.col("score") >= 0.7) | (F.col("score") <= 0.2)).select("doc_id", "text", (F.col("score") > 0.5).alias("spam"))
-    odds = lexicon(sure)
-    model = _forest(featured(sure, ["spam"], odds).persist(), trees, depth)
+    # a given label stays unless the trees are all but certain of the other one; other pages get a label if the trees are sure
+    score, given = F.col("score"), F.col("spam")
+    stays = F.when(given & (score >= 0.1), True).when(~given & (score <= 0.9), False)
+    weak = _chance(model, first).select("doc_id", "text", F.when(given.isNotNull(), stays).when(score >= 0.8, True).when(score <= 0.1, False).alias("spam"))
+    weak = weak.where(F.col("spam").isNotNull()).persist()
+    odds = lexicon(weak)
+    model = _forest(featured(weak, ["spam"], odds).persist(), trees, depth + 2, 2)
     if model is None:
         return None
     rows = featured(pages.select("doc_id", F.col(host).alias("host"), "text").where(F.col("text").isNotNull()), ["doc_id", "host"], odds).where("log_words > 0")
@@ -153,9 +166,24 @@ def spam_scores(pages: DataFrame, labels: DataFrame, host: str = "source", trees
     return scored.join(rates, F.col("host").eqNullSafe(F.col("_host"))).select("doc_id", "host", "score", ((1 - weight) * F.col("score") + weight * F.col("rate")).alias("smoothed"))
 
 
-def spam_pages(pages: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """``doc_id`` of the pages whose smoothed score is at least ``threshold``."""
+def valley(scores: DataFrame, low: int = 40, high: int = 75, width: int = 10) -> float:
+    """The threshold: the middle of the emptiest stretch of ``width`` hundredths of the scores between two bounds, of several the one nearest to a half.
+
+    Spark counts the scores in hundredths; only these counts come back.
+    """
+    counts = {r["bin"]: r["n"] for r in scores.groupBy(F.floor(F.col("smoothed") * 100).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()}
+    half = width // 2
+    weight = {c: sum(counts.get(k, 0) for k in range(c - half, c + half)) for c in range(low, high + 1)}
+    best = [c for c in weight if weight[c] == min(weight.values())]
+    # the middle of the run of equally empty places that comes nearest to a half
+    nearest = min(best, key=lambda c: (abs(c - 50), c))
+    run = [c for c in best if all(k in best for k in range(min(c, nearest), max(c, nearest) + 1))]
+    return sum(run) / len(run) / 100
+
+
+def spam_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id`` of the pages whose smoothed score reaches the ``valley`` between the two kinds."""
     scores = spam_scores(pages, labels)
     if scores is None:
         return pages.select("doc_id").limit(0)
-    return scores.where(F.col("smoothed") >= threshold).select("doc_id")
+    return scores.where(F.col("smoothed") >= valley(scores)).select("doc_id")
