@@ -13,6 +13,7 @@ A page without words is no spam; a page labelled both ways counts once for eithe
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -81,8 +82,8 @@ def page_features(text: str | None, odds: Odds) -> list[float]:
         np.count_nonzero(score > 1) / n,
         np.count_nonzero(score < -1) / n,
         sum(c for w, c in count.items() if w.isdigit()) / n,
-        len(count) / n,
-        len(set(zip(words, words[1:], strict=False))) / n,
+        math.log1p(len(count)) / math.log1p(n),
+        math.log1p(len(set(zip(words, words[1:], strict=False)))) / math.log1p(n),
         max(count.values()) / n,
         len(links) / n,
         sum(map(len, links)) / len(raw),
@@ -92,7 +93,7 @@ def page_features(text: str | None, odds: Odds) -> list[float]:
         min(1.0, n / len(items) / 25),
         sum(map(_numbered, items)) / len(items),
         len(zlib.compress(raw, 1)) / len(raw),
-        float(np.log1p(n)),
+        math.log1p(n),
     ]
 
 
