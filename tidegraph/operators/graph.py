@@ -116,11 +116,12 @@ def tree_paths(tree: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     keys = "".join(f"{c}, " for c in by)
     carried = "".join(f"p.{c}, " for c in by)
     same = "".join(f"p.{c} <=> s.{c} AND " for c in by)
-    return spark.sql(f"""WITH RECURSIVE p AS (
+    # written once: what follows joins the paths with themselves, and recursion isn't shared between branches of a plan
+    return cut_lineage(spark.sql(f"""WITH RECURSIVE p AS (
       SELECT {keys}u AS src, u AS prev, v AS dst, 1 AS hops, w AS length, w AS longest FROM _tree_steps
       UNION ALL
       SELECT {carried}p.src, p.dst, s.v, p.hops + 1, p.length + s.w, greatest(p.longest, s.w) FROM p JOIN _tree_steps s ON {same}p.dst = s.u AND s.v <> p.prev)
-      SELECT {keys}src, dst, hops, length, longest FROM p""")
+      SELECT {keys}src, dst, hops, length, longest FROM p"""))
 
 
 def ultrametric(tree: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators.distance import from_correlation, pair_panel
 from tidegraph.operators.graph import betweenness, degrees, finite, hubs, spanning_trees, tree_metrics, tree_paths
+from tidegraph.plans.runtime import cut_lineage
 
 
 def window_ends(returns: DataFrame, window: int) -> DataFrame:
@@ -57,27 +58,31 @@ def window_rows(returns: DataFrame, window: int) -> DataFrame:
     return joined.select(F.explode(ends).alias("t_end"), "t", "node", "r")
 
 
-def window_status(edges: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
-    """``t_end, date, status``: ``ok``, ``isolated`` (a node with too few distances, or no edge at all) or ``disconnected``."""
-    real = finite(edges)
-    peers = real.select("t_end", F.explode(F.array("i", "j")).alias("node")).groupBy("t_end", "node").agg(F.count("*").alias("peers"))
+def _status(edges: DataFrame, trees: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
+    """``t_end, date, status, mean_w`` of every window from its distances and its tree."""
+    peers = finite(edges).select("t_end", F.explode(F.array("i", "j")).alias("node")).groupBy("t_end", "node").agg(F.count("*").alias("peers"))
     met = peers.groupBy("t_end").agg(F.count_if(F.col("peers") >= min_peers).alias("met"))
-    grown = spanning_trees(real, ("t_end",)).groupBy("t_end").agg(F.count("*").alias("n_edges"))
+    grown = trees.groupBy("t_end").agg(F.count("*").alias("n_edges"), F.avg("w").alias("mean_w"))
     status = F.when(F.coalesce("met", F.lit(0)) < universe, "isolated").when(F.col("n_edges") != universe - 1, "disconnected").otherwise("ok")
-    return ends.join(met, "t_end", "left").join(grown, "t_end", "left").select("t_end", "date", status.alias("status"))
+    return ends.join(met, "t_end", "left").join(grown, "t_end", "left").select("t_end", "date", status.alias("status"), "mean_w")
+
+
+def window_status(edges: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
+    """``t_end, date, status``: ``ok``, ``isolated`` (a node with too few distances, or no edge at all) or ``disconnected``."""
+    return _status(edges, spanning_trees(edges, ("t_end",)), ends, universe, min_peers).drop("mean_w")
 
 
 def rolling_ntl(edges: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
     """``t_end, date, ntl, status`` of every window end, ``ntl`` (mean weight of the tree) null where the tree doesn't span the universe."""
-    status = window_status(edges, ends, universe, min_peers)
-    mean = spanning_trees(edges, ("t_end",)).groupBy("t_end").agg(F.avg("w").alias("ntl"))
-    return status.join(mean, "t_end", "left").select("t_end", "date", F.when(F.col("status") == "ok", F.col("ntl")).alias("ntl"), "status")
+    rows = _status(edges, spanning_trees(edges, ("t_end",)), ends, universe, min_peers)
+    return rows.select("t_end", "date", F.when(F.col("status") == "ok", F.col("mean_w")).alias("ntl"), "status")
 
 
 def valid_trees(edges: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
-    """The trees of the windows whose status is ok."""
-    ok = window_status(edges, ends, universe, min_peers).where("status = 'ok'").select("t_end")
-    return spanning_trees(edges, ("t_end",)).join(ok, "t_end", "left_semi")
+    """The trees of the windows whose status is ok, written once for what follows."""
+    trees = cut_lineage(spanning_trees(edges, ("t_end",)))
+    ok = _status(edges, trees, ends, universe, min_peers).where("status = 'ok'").select("t_end")
+    return trees.join(ok, "t_end", "left_semi")
 
 
 def rolling_topology(trees: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def distances(returns: DataFrame, method: str, min_common: int = C.min_common) -
 
 def backbone(edges: DataFrame) -> DataFrame:
     """Finite edges between nodes with enough peers, within the largest component."""
-    met = graph.drop_isolated(edges, C.min_peers)
+    met = cut_lineage(graph.drop_isolated(cut_lineage(edges), C.min_peers))  # pairs of nodes; read several times
     inside = graph.largest_component(met)
     return met.join(inside.withColumnRenamed("node", "i"), "i", "left_semi").join(inside.withColumnRenamed("node", "j"), "j", "left_semi")
 
@@ -351,7 +351,7 @@ def tree_path_table(spark, sf_dir):
     + "SELECT row_number() OVER (ORDER BY w, i, j) AS rank, i, a.sector AS sector_i, j, b.sector AS sector_j, round(w, 6) AS w, a.sector = b.sector AS same_sector FROM tree JOIN sec a ON a.node = i JOIN sec b ON b.node = j"
 )
 def edge_table(spark, sf_dir):
-    return _r(robustness.edge_table(graph.spanning_trees(graph.drop_isolated(distances(nation_returns(spark, sf_dir), "mantegna", 60), C.min_peers)), sectors(spark, sf_dir)), "w")
+    return _r(robustness.edge_table(graph.spanning_trees(graph.drop_isolated(cut_lineage(distances(nation_returns(spark, sf_dir), "mantegna", 60)), C.min_peers)), sectors(spark, sf_dir)), "w")
 
 
 @query(
