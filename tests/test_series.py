@@ -125,6 +125,13 @@ def test_short_constant_and_tied_series(spark):
     assert found(spark, []) == {}
 
 
+def test_null_keys_are_series(spark):
+    x = walk(60, 4)
+    x[30] *= 2
+    rows = series(x, None, None) + series(walk(60, 5), 1, None, 100) + series(x, None, "A", 200)
+    assert found(spark, rows) == {"spike": {30, 230}}
+
+
 def test_charts_side_by_side_equal_one_by_one():
     parts = [walk(n, n) for n in (5, 80, 1, 300, 33)]
     for x in parts:

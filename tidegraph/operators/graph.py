@@ -37,7 +37,10 @@ def _folded(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     A merge of clusters a < b of sizes that add up to ``size`` makes cluster N + step, so the fold is single linkage at once.
     """
     cols = [F.col(c) for c in by]
-    groups = finite(edges).select(*by, "i", "j", "w").groupBy(*cols).agg(
+    rows = finite(edges).select(*by, "i", "j", "w")
+    if by:  # the fold is work, not bytes: as many tasks as the session asks for, whatever the size of the rows
+        rows = rows.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    groups = rows.groupBy(*cols).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j"))))).alias("nodes"), F.array_sort(F.collect_list(F.struct("w", "i", "j"))).alias("edges")
     )
     at = lambda x: (F.array_position("nodes", x) - 1).cast("int")

@@ -60,7 +60,7 @@ def nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one row a week and brand, written to the checkpoint folder: every later step reads it more than once."""
-    return cut_lineage(panel.log_returns(panel.clean_prices(brand_prices(spark, sf_dir))))
+    return cut_lineage(panel.log_returns(cut_lineage(panel.clean_prices(brand_prices(spark, sf_dir)))))
 
 
 def nation_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
