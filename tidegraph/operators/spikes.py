@@ -36,9 +36,9 @@ class Chart:
     scale_weight: float = 0.02  #: weight of a new move in the scale
     most: int = 5  #: at most so many readings in succession are a spike; more are a lasting change
     beside: int = 5  #: readings on either side that make the level before and after
-    spike: float = 6.5  #: a spike lies so many of its series' usual moves off both levels
+    spike: float = 5.5  #: a spike lies so many of its series' usual moves off both levels
     still: int = 8  #: a standstill has at least so many readings
-    still_factor: float = 1.4  #: and is so many times as long as the series' usual ones
+    still_factor: float = 1.25  #: and is so many times as long as the series' usual ones
     rare: float = 0.005  #: runs longer than the usual one are at most this share of all runs
     rare_least: int = 3  #: or this many
     slice_rows: int = 1024  #: readings aimed at in a slice
