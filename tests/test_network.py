@@ -247,6 +247,18 @@ def test_random_trees_and_perturbation(spark):
     assert 0 < row.jaccard_min <= row.jaccard_mean <= 1
 
 
+def test_degree_test(spark):
+    trees = resample.replicas(edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("b", "d", 1.0)]), 5)
+    tree = trees.where("rep = 1").drop("rep")
+    got = {r.null_model: r for r in resample.degree_test(tree, trees, 40).collect()}
+    assert got["null_panel"].p_max_degree == 1
+    assert (got["uniform_tree"].n_null, got["uniform_tree"].max_degree, got["uniform_tree"].n_nodes) == (40, 3, 4)
+    assert all(r.p_entropy_holm >= r.p_entropy for r in got.values())
+    none = resample.degree_test(tree.limit(0), trees, 5)
+    assert none.count() == 0
+    assert none.columns == list(next(iter(got.values())).asDict())
+
+
 def test_bootstrap_blocks(spark):
     assert [resample.block_length(n) for n in (4, 100, 1000)] == [2, 5, 10]
     rows = resample.block_dates(53, 4, spark).toPandas().sort_values(["rep", "t"])
