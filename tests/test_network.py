@@ -167,6 +167,36 @@ def test_rolling_equals_windows_one_by_one(spark):
     assert rolling.diagnostics(series).first().total_windows == 26
 
 
+def test_rolling_ranks_and_symbols_equal_windows_one_by_one(spark):
+    rng = random.Random(5)
+    gone = {("b", 7), ("d", 30)}
+    rows = [(t, n, rng.choice([0.0, 0.5, 1.0, 2.0]) if n == "c" else rng.gauss(0, 1)) for t in range(47) for n in "abcd" if (n, t) not in gone]
+    df = spark.createDataFrame(rows, "t int, node string, r double")
+    ranks = {(r.t_end, r.i, r.j): (r.n_common, r.w) for r in rolling.rolling_spearman(df, 42, 41).collect()}
+    # 41 and 42 values: no quantile falls on a value, where the last bit would decide
+    codes = {(r.t_end, r.i, r.j): (r.n_common, r.w) for r in rolling.rolling_symbolic_inwindow(df, 42, (1 / 3, 2 / 3), 30, 41).collect()}
+    wide = pd.DataFrame(rows, columns=["t", "node", "r"]).pivot(index="t", columns="node", values="r")
+    assert set(ranks) == set(codes) == {(t, i, j) for t in range(41, 47) for i in "abcd" for j in "abcd" if i < j}
+    for (t, i, j), (n, w) in ranks.items():
+        both = wide.loc[t - 41 : t, [i, j]].dropna()
+        assert n == len(both) and (w is None) == (n < 41)
+        if w is not None:
+            assert w == pytest.approx(math.sqrt(2 * (1 - both[i].rank().corr(both[j].rank()))), abs=1e-9)
+    for (t, i, j), (n, w) in codes.items():
+        part = wide.loc[t - 41 : t, [i, j]]
+        symbol = part.apply(lambda c: c.map(lambda v, lo=c.quantile(1 / 3), hi=c.quantile(2 / 3): v if v != v else 1 if v < lo else 2 if v <= hi else 3))
+        both = symbol.dropna()
+        assert n == len(both) and (w is None) == (n < 41)
+        if w is not None:
+            assert w == pytest.approx(math.sqrt((both[i] != both[j]).mean()), abs=1e-9)
+
+
+def test_series_correlation_needs_shared_windows(spark):
+    rows = [("a", t, float(t)) for t in range(20)] + [("b", t, -2.0 * t) for t in range(20)] + [("c", t, 1.0) for t in range(20)] + [("d", t, float(t)) for t in range(10)] + [("a", 30, None)]
+    got = {r.pair: (r.n_shared, r.r) for r in robustness.series_correlation(spark.createDataFrame(rows, "method string, t_end int, ntl double")).collect()}
+    assert got["a-b"] == (20, pytest.approx(-1.0)) and got["a-c"] == (20, None) and got["a-d"] == (10, None)
+
+
 def test_episodes(spark):
     v = [5, 5, 1, 1, None, 1, -5, 5, 0, 5]
     rows = [(k, None if x is None else float(x), 0.0, 2.0) for k, x in enumerate(v)]

@@ -38,11 +38,23 @@ def mantegna(returns: DataFrame, min_common: int, by: tuple[str, ...] = ()) -> D
     return correlations(returns, by).select(*by, "i", "j", "n_common", from_correlation(F.col("rho"), F.col("n_common"), min_common).alias("w"))
 
 
-def spearman(returns: DataFrame, min_common: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distance from Spearman's correlation; ranks (ties share their mean) are taken within the common dates of each pair."""
-    pairs = pair_panel(returns, "r", by)
-    rank = lambda c: F.rank().over(Window.partitionBy(*by, "i", "j").orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, "i", "j", c)) - 1) / 2
-    ranked = pairs.select(*by, "i", "j", rank("x").alias("x"), rank("y").alias("y"))
+def spearman(returns: DataFrame, min_common: int, by: tuple[str, ...] = (), dates: int | None = None) -> DataFrame:
+    """Distance from Spearman's correlation; ranks (ties share their mean) are taken within the common dates of each pair.
+
+    ``dates``, if given, is the number of dates of every group of ``by``. Nodes with a value on all of them keep their dates in any pair of such nodes, so they
+    are ranked once a group, not once a pair; only pairs with gaps are ranked by pair.
+    """
+    tied = lambda c, *keys: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+    if dates is None:
+        ranked = pair_panel(returns, "r", by).select(*by, "i", "j", tied("x", *by, "i", "j").alias("x"), tied("y", *by, "i", "j").alias("y"))
+    else:
+        whole = F.count("*").over(Window.partitionBy(*by, "node")) == dates
+        marked = returns.select(*by, "t", "node", F.struct("r", tied("r", *by, "node").alias("rank"), whole.alias("whole")).alias("v"))
+        pairs = pair_panel(marked, "v", by)
+        both = F.col("x.whole") & F.col("y.whole")
+        gaps = pairs.where(~both).select(*by, "i", "j", F.col("x.r").alias("x"), F.col("y.r").alias("y"))
+        ranked = gaps.select(*by, "i", "j", tied("x", *by, "i", "j").alias("x"), tied("y", *by, "i", "j").alias("y"))
+        ranked = ranked.unionByName(pairs.where(both).select(*by, "i", "j", F.col("x.rank").alias("x"), F.col("y.rank").alias("y")))
     return _pearson(ranked, by).select(*by, "i", "j", "n_common", from_correlation(F.col("rho"), F.col("n_common"), min_common).alias("w"))
 
 

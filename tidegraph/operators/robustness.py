@@ -19,6 +19,19 @@ def distance_correlation(edges: DataFrame) -> DataFrame:
     return sums.select(F.concat_ws("-", "ma", "mb").alias("pair"), "n_pairs", F.try_divide("c", F.nullif(F.sqrt(F.col("vx") * F.col("vy")), F.lit(0.0))).alias("r"))
 
 
+def series_correlation(series: DataFrame, least: int = 10) -> DataFrame:
+    """``pair, n_shared, r``: Pearson's correlation of the series (``method, t_end, ntl``) of each pair of methods over the windows where both have a value.
+
+    ``r`` is null with ``least`` shared windows or fewer, or if a series doesn't vary.
+    """
+    told = series.where("ntl is not null")
+    a = told.select(F.col("method").alias("ma"), "t_end", F.col("ntl").alias("x"))
+    b = told.select(F.col("method").alias("mb"), "t_end", F.col("ntl").alias("y"))
+    sums = a.join(b, "t_end").where("ma < mb").groupBy("ma", "mb").agg(F.count("*").alias("n_shared"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    r = F.try_divide("c", F.nullif(F.sqrt(F.col("vx") * F.col("vy")), F.lit(0.0)))
+    return sums.select(F.concat_ws("-", "ma", "mb").alias("pair"), "n_shared", F.when(F.col("n_shared") > least, r).alias("r"))
+
+
 def tree_agreement(trees: DataFrame) -> DataFrame:
     """``pair, shared, united, jaccard``: the edges that the trees of two methods share."""
     methods = trees.select("method").distinct()

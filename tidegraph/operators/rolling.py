@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.distance import from_correlation, pair_panel
+from tidegraph.operators.distance import from_correlation, pair_panel, spearman, symbolic
 from tidegraph.operators.graph import betweenness, degrees, finite, hubs, spanning_trees, tree_metrics, tree_paths
+from tidegraph.operators.symbols import symbolize, thresholds
 from tidegraph.plans.runtime import cut_lineage
 
 
@@ -58,6 +59,17 @@ def window_rows(returns: DataFrame, window: int) -> DataFrame:
     return joined.select(F.explode(ends).alias("t_end"), "t", "node", "r")
 
 
+def rolling_spearman(returns: DataFrame, window: int, min_common: int) -> DataFrame:
+    """``t_end, i, j, n_common, w`` of every window by ranks, which hang on the whole window and can't be kept as running sums."""
+    return spearman(window_rows(returns, window), min_common, ("t_end",), window)
+
+
+def rolling_symbolic_inwindow(returns: DataFrame, window: int, quantiles: tuple[float, float], least: int, min_common: int) -> DataFrame:
+    """``t_end, i, j, n_common, w`` of every window from symbols whose thresholds are taken anew in it; nodes with less than ``least`` returns in it drop out of it."""
+    rows, by = window_rows(returns, window), ("t_end",)
+    return symbolic(symbolize(rows, thresholds(rows, quantiles, least, by), by), min_common, by=by)
+
+
 def _status(edges: DataFrame, trees: DataFrame, ends: DataFrame, universe: int, min_peers: int) -> DataFrame:
     """``t_end, date, status, mean_w`` of every window from its distances and its tree."""
     peers = finite(edges).select("t_end", F.explode(F.array("i", "j")).alias("node")).groupBy("t_end", "node").agg(F.count("*").alias("peers"))
