@@ -440,6 +440,10 @@ def _universe(returns: DataFrame) -> int:
 def _rolling_edges(returns: DataFrame, method: str) -> DataFrame:
     if method == "mantegna":
         return cut_lineage(rolling.rolling_mantegna(returns, WINDOW, C.common(WINDOW)))
+    if method == "spearman":
+        return cut_lineage(rolling.rolling_spearman(returns, WINDOW, C.common(WINDOW)))
+    if method == "symbolic_inwindow":
+        return cut_lineage(rolling.rolling_symbolic_inwindow(returns, WINDOW, C.quantiles, C.min_symbol_obs, C.common(WINDOW)))
     return cut_lineage(rolling.rolling_symbolic(brand_symbols(returns), WINDOW, C.common(WINDOW)))
 
 
@@ -448,16 +452,31 @@ def _rolling(spark, sf_dir, method: str) -> tuple[DataFrame, DataFrame, int]:
     return _rolling_edges(returns, method), rolling.window_ends(returns, WINDOW), _universe(returns)
 
 
+def _rolling_distances(method: str) -> tuple[str, ...]:
+    m, within = C.common(WINDOW), f"t BETWEEN t_end - {WINDOW - 1} AND t_end"
+    moments = _W.format(m=m).replace("rho", _RHO).replace("n_common", "count(*)")
+    unequal = f"CASE WHEN count(*) >= {m} THEN sqrt(count(*) FILTER (x <> y) / count(*)) END"
+    whole = f"wr AS MATERIALIZED (SELECT t_end, t, node, r FROM ret JOIN wend ON {within})"
+    pairs = "pp AS MATERIALIZED (SELECT {k}a.t, a.node AS i, b.node AS j, a.{v} AS x, b.{v} AS y FROM {s} a JOIN {s} b ON {on}a.t = b.t AND a.node < b.node)"
+    by_window = {"k": "a.t_end, ", "on": "a.t_end = b.t_end AND "}
+    if method == "spearman":
+        rank = "rank() OVER (PARTITION BY t_end, i, j ORDER BY {c}) + (count(*) OVER (PARTITION BY t_end, i, j, {c}) - 1) / 2 AS {c}"
+        ranked = f"SELECT t_end, i, j, {rank.format(c='x')}, {rank.format(c='y')} FROM pp"
+        return whole, pairs.format(v="r", s="wr", **by_window), f"d AS MATERIALIZED (SELECT t_end, i, j, count(*) AS n_common, {moments} AS w FROM ({ranked}) GROUP BY t_end, i, j)"
+    if method == "symbolic_inwindow":
+        limits = f"wlim AS (SELECT t_end, node, quantile_cont(r, {1 / 3!r}) AS a, quantile_cont(r, {2 / 3!r}) AS b FROM wr GROUP BY ALL HAVING count(*) >= {C.min_symbol_obs})"
+        coded = "wsym AS (SELECT t_end, t, node, CASE WHEN r < a THEN 1 WHEN r <= b THEN 2 ELSE 3 END AS symbol FROM wr JOIN wlim USING (t_end, node))"
+        return whole, limits, coded, pairs.format(v="symbol", s="wsym", **by_window), f"d AS MATERIALIZED (SELECT t_end, i, j, count(*) AS n_common, {unequal} AS w FROM pp GROUP BY t_end, i, j)"
+    v, s, value = ("r", "ret", moments) if method == "mantegna" else ("symbol", "sym", unequal)
+    return pairs.format(k="", v=v, s=s, on=""), f"d AS MATERIALIZED (SELECT t_end, i, j, count(*) AS n_common, {value} AS w FROM pp JOIN wend ON {within} GROUP BY t_end, i, j)"
+
+
 def _rolling_sql(method: str) -> tuple[str, ...]:
-    m = C.common(WINDOW)
-    v, s = ("r", "ret") if method == "mantegna" else ("symbol", "sym")
-    value = f"{_W.format(m=m).replace('rho', _RHO).replace('n_common', 'count(*)')}" if method == "mantegna" else f"CASE WHEN count(*) >= {m} THEN sqrt(count(*) FILTER (x <> y) / count(*)) END"
     return (
         *_BRET,
         *((_symbols(),) if method == "symbolic" else ()),
-        f"pp AS MATERIALIZED (SELECT a.t, a.node AS i, b.node AS j, a.{v} AS x, b.{v} AS y FROM {s} a JOIN {s} b ON a.t = b.t AND a.node < b.node)",
         f"wend AS (SELECT DISTINCT t AS t_end, date FROM ret WHERE t >= {WINDOW - 1})",
-        f"d AS MATERIALIZED (SELECT t_end, i, j, count(*) AS n_common, {value} AS w FROM pp JOIN wend ON t BETWEEN t_end - {WINDOW - 1} AND t_end GROUP BY t_end, i, j)",
+        *_rolling_distances(method),
         "uni AS (SELECT count(DISTINCT node) AS n FROM ret)",
         "peers AS (SELECT t_end, count(*) FILTER (k >= 3) AS met FROM (SELECT t_end, node, count(*) AS k FROM (SELECT t_end, unnest([i, j]) AS node FROM d WHERE w IS NOT NULL) GROUP BY ALL) GROUP BY 1)",
         _tree("d", "alltree", "t_end"),
@@ -476,9 +495,19 @@ def _add_rolling(method: str) -> None:
     SQL[f"rolling_ntl_{method}"] = _with(*_rolling_sql(method)) + "SELECT t_end, CAST(date AS VARCHAR) AS date, round(ntl, 6) AS ntl, status FROM stat"
 
 
-for _method in ("mantegna", "symbolic"):
+for _method in ("mantegna", "spearman", "symbolic", "symbolic_inwindow"):
     _add_rolling(_method)
 
+
+@query("WITH alls AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, t_end, ntl FROM ({_with(*_rolling_sql(m))} SELECT t_end, ntl FROM stat WHERE ntl IS NOT NULL)" for m in METHODS)
+       + f") SELECT a.method || '-' || b.method AS pair, count(*) AS n_shared, CASE WHEN count(*) > 10 THEN round({_RHO.replace('x', 'a.ntl').replace('y', 'b.ntl')}, 6) END AS r FROM alls a JOIN alls b ON a.t_end = b.t_end AND a.method < b.method GROUP BY 1")
+def convergence_rolling(spark, sf_dir):
+    returns = brand_returns(spark, sf_dir)
+    ends, n = rolling.window_ends(returns, WINDOW), _universe(returns)
+    series = [rolling.rolling_ntl(_rolling_edges(returns, m), ends, n, C.min_peers).select(F.lit(m).alias("method"), "t_end", "ntl") for m in METHODS]
+    return _r(robustness.series_correlation(cut_lineage(series[0].unionByName(series[1]).unionByName(series[2]))), "r")
+
+
 _RM = _with(*_rolling_sql("mantegna"))
 
 
@@ -487,7 +516,7 @@ ends AS (SELECT s.t_end, a.degree AS x, b.degree AS y FROM pathss s JOIN deg a O
 hist AS (SELECT t_end, degree, count(*) / sum(count(*)) OVER (PARTITION BY t_end) AS p FROM deg GROUP BY t_end, degree),
 far AS (SELECT t_end, avg(hops) AS a, avg(length) AS b, max(hops) AS c, max(length) AS d FROM paths GROUP BY 1), mix AS (SELECT t_end, covar_pop(x, y) / nullif(var_pop(x), 0) AS e FROM ends GROUP BY 1),
 ent AS (SELECT t_end, -sum(p * log2(p)) AS f, max(degree) AS g FROM hist GROUP BY 1), wt AS (SELECT t_end, count(*) AS n, sum(w) AS s, avg(w) AS m FROM tree GROUP BY 1)
-SELECT t_end, n AS n_edges, round(s, 6) AS sum_w, round(m, 6) AS ntl, round(a, 6) AS apl_hops, round(b, 6) AS apl_weighted, c AS diameter_hops, round(d, 6) AS diameter_weighted, round(e, 6) AS assortativity, round(f, 6) AS degree_entropy, g AS max_degree
+SELECT t_end, n AS n_edges, round(s, 6) AS sum_w, round(m, 6) AS ntl, round(a, 6) AS apl_hops, round(b, 6) AS apl_weighted, c AS diameter_hops, round(d, 6) AS diameter_weighted, round(e, 6) + 0.0 AS assortativity, round(f, 6) AS degree_entropy, g AS max_degree
 FROM wt JOIN far USING (t_end) JOIN mix USING (t_end) JOIN ent USING (t_end)""")
 def rolling_topology(spark, sf_dir):
     edges, ends, n = _rolling(spark, sf_dir, "mantegna")
