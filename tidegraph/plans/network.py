@@ -287,7 +287,7 @@ def _add_method(method: str) -> None:
 ends AS (SELECT a.degree AS x, b.degree AS y FROM pathss s JOIN deg a ON a.node = s.u JOIN deg b ON b.node = s.v),
 hist AS (SELECT degree, count(*) / sum(count(*)) OVER () AS p FROM deg GROUP BY degree)
 SELECT (SELECT count(*) FROM tree) AS n_edges, round((SELECT sum(w) FROM tree), 6) AS sum_w, round((SELECT avg(w) FROM tree), 6) AS ntl, round(avg(hops), 6) AS apl_hops, round(avg(length), 6) AS apl_weighted,
- max(hops) AS diameter_hops, round(max(length), 6) AS diameter_weighted, round((SELECT covar_pop(x, y) / var_pop(x) FROM ends), 6) AS assortativity,
+ max(hops) AS diameter_hops, round(max(length), 6) AS diameter_weighted, round((SELECT covar_pop(x, y) / var_pop(x) FROM ends), 6) + 0.0 AS assortativity,
  round((SELECT -sum(p * log2(p)) FROM hist), 6) AS degree_entropy, (SELECT max(degree) FROM deg) AS max_degree FROM paths"""
     # clusters just before each merge: nodes joined by smaller tree edges
     clusters = f""", {_paths()}, ranked AS (SELECT *, row_number() OVER (ORDER BY w, i, j) AS step, (SELECT count(*) + 1 FROM tree) AS n FROM tree),
