@@ -117,6 +117,27 @@ def test_slices_don_t_show(spark):
     assert whole["standstill"] == set(range(741, 760))
 
 
+def test_slices_of_session_clustered_readings(spark):
+    """Readings of a few open hours a day: the borders of slices often fall into closed hours."""
+    x = walk(3200, 12)
+    for k in range(60, 3200, 80):  # at and near every slice's first and last readings
+        x[k] *= 1.5
+    x[1590:1604] = x[1590]
+    x[2250:2820] = x[2250]  # a stretch longer than a slice
+    rows = [(k, 1, "A", 24 * (k // 80) + 0.05 * (k % 80), float(v)) for k, v in enumerate(x)]
+    whole = found(spark, rows, p=Chart(slice_rows=10_000))
+    assert len(whole["spike"]) >= 30
+    assert whole["standstill"] == {*range(1591, 1604), *range(2251, 2820)}
+    for n in (80, 160, 200):
+        assert found(spark, rows, p=Chart(slice_rows=n))["standstill"] == whole["standstill"]
+    day = [(k, 1, "A", 24 * (k // 80) + 0.05 * (k % 80), float(v)) for k, v in enumerate(walk(1600, 13))]
+    for first in (79, 80, 160, 239, 800, 1279, 1280):
+        day[first] = (*day[first][:4], day[first][4] * 1.5)
+    whole = found(spark, day, p=Chart(slice_rows=10_000))
+    assert whole["spike"] == {79, 80, 160, 239, 800, 1279, 1280}
+    assert found(spark, day, p=Chart(slice_rows=80)) == whole
+
+
 def test_short_constant_and_tied_series(spark):
     rows = series([5.0], ticker="one") + series([5.0] * 30, ticker="flat", base=100) + [(200 + k, 2, "ties", 7, 5.0 + k % 3 * 0.01) for k in range(50)] + series([math.inf, 1.0, 1.1], ticker="inf", base=300)
     got = found(spark, rows)

@@ -4,14 +4,16 @@ Per source a robust exponentially weighted control chart: level and scale follow
 before it updates either, so a spike can't drag the chart along; a run of suspects longer than a few is a lasting
 change, on which the chart starts anew. Run-length counters find standstills, physical limits the impossible.
 
-A series is cut into time slices of about ``slice_rows`` readings, each with a border of readings from its neighbours on either
-side, so that no task holds a whole series however hot. Slices are the rows of a grouped Arrow function that runs the
+A series is cut into time slices of about ``slice_rows`` readings, each with a border of so many readings on either side, however
+far off in time, so that no task holds a whole series however hot. Slices are the rows of a grouped Arrow function that runs the
 charts of many slices side by side in numpy. It gives few rows: candidates, and histograms of moves and run lengths from which
-the usual move and the usual standstill of each series are summed up. A candidate is then checked against them.
+the usual move and the usual standstill of each series are summed up. A candidate is then checked against them. The stretches of equal
+values at the edges of a slice may go on in the next ones; they are joined over all slices by a scan over the edges.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.notes import suspensions
 
-SPIKE, STILL, MOVES, RUNS = 1, 2, 3, 4
-_OUT = "kind int, run_id bigint, ticker string, reading_id bigint, at bigint, value double, n bigint"
+SPIKE, STILL, MOVES, RUNS, EDGE, OPEN = 1, 2, 3, 4, 5, 6
+_OUT = "kind int, run_id bigint, ticker string, slice int, reading_id bigint, at bigint, value double, n bigint"
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,12 @@ class Chart:
     rare: float = 0.005  #: runs longer than the usual one are at most this share of all runs
     rare_least: int = 3  #: or this many
     slice_rows: int = 1024  #: readings aimed at in a slice
-    border: float = 0.125  #: border on either side as a share of the slice's time
+    border: float = 0.125  #: readings of the border on either side as a share of slice_rows
+
+    @property
+    def border_rows(self) -> int:
+        """Least number of readings in a border: enough for a spike that goes on there and the level beyond it."""
+        return max(math.ceil(self.border * self.slice_rows), 2 * self.beside + self.most)
 
 
 def control_charts(x: np.ndarray, starts: np.ndarray, p: Chart = Chart()) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +148,12 @@ def run_lengths(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _slices(columns: list[np.ndarray], own: np.ndarray, fecha: np.ndarray, reading: np.ndarray, price: np.ndarray, starts: np.ndarray, p: Chart) -> pa.RecordBatch:
-    """The rows for whole slices: run_id and ticker by slice in ``columns``."""
-    run, ticker = columns
+    """The rows for whole slices: run_id, ticker and slice number by slice in ``columns``.
+
+    An EDGE row is the first or last stretch of equal values in a slice of a cut series (n is its length, value the price), an OPEN row one of its readings (value is its
+    place from 0 on, n the number of its edge in the slice). They may go on in other slices, so STILL and RUNS leave them out.
+    """
+    run, ticker, number = columns
     lane = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(price))))
     keep = np.concatenate([[True], (reading[1:] != reading[:-1]) | (lane[1:] != lane[:-1])])  # a repeated reading is one
     own, fecha, reading, price, lane = own[keep], fecha[keep], reading[keep], price[keep], lane[keep]
@@ -153,24 +164,38 @@ def _slices(columns: list[np.ndarray], own: np.ndarray, fecha: np.ndarray, readi
     at, off = spike_candidates(x, starts, p)
     mine = own[at]
     rows.append((SPIKE, lane[at][mine], reading[at][mine], fecha[at][mine], off[mine], np.ones(mine.sum(), np.int64)))
-    begin, size = run_lengths(price, starts)
-    long = size >= p.still
-    which = np.repeat(np.flatnonzero(long), size[long] - 1)
-    at = begin[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(size[long] - 1) - (size[long] - 1), size[long] - 1)
-    mine = own[at]
-    rows.append((STILL, lane[at][mine], reading[at][mine], fecha[at][mine], size[which][mine].astype(float), np.ones(mine.sum(), np.int64)))
+    o = np.flatnonzero(own)
+    first = np.searchsorted(lane[o], np.arange(len(starts)))
+    first = first[np.diff(np.append(first, len(o))) > 0]
+    begin, size = run_lengths(price[o], first)
+    of = lane[o[begin]] if len(o) else np.zeros(0, int)
+    head, tail = np.isin(begin, first), np.append(of[1:] != of[:-1], True)[: len(of)]
+    edge = (head | tail) & (np.asarray(number)[of] >= 0)
+
+    def members(some: np.ndarray, skip: int) -> tuple[np.ndarray, ...]:
+        """Run, place in the run and row of the readings of some runs, without the first ``skip`` of each."""
+        n = size[some] - skip
+        which = np.repeat(np.flatnonzero(some), n)
+        place = skip + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return which, place, o[begin[which] + place]
+
+    which, _, at = members((size >= p.still) & ~edge, 1)
+    rows.append((STILL, lane[at], reading[at], fecha[at], size[which].astype(float), np.ones(len(at), np.int64)))
+    at = o[begin[edge]]
+    rows.append((EDGE, lane[at], reading[at], fecha[at], price[at], size[edge].astype(np.int64)))
+    which, place, at = members(edge, 0)
+    rows.append((OPEN, lane[at], reading[at], fecha[at], place.astype(float), np.where(head[which], 0, 1).astype(np.int64)))
     moves = np.abs(np.diff(x, prepend=np.nan))
     moves[starts] = 0
     moved = own & (moves > 0)
     step = np.round(np.log2(moves[moved]) * 16).astype(np.int64)
     rows.append((MOVES, *_histogram(lane[moved], step, lambda s: np.exp2(s / 16))))
-    mine = own[begin]
-    rows.append((RUNS, *_histogram(lane[begin][mine], size[mine], lambda s: s.astype(float))))
+    rows.append((RUNS, *_histogram(of[~edge], size[~edge], lambda s: s.astype(float))))
     lanes = np.concatenate([r[1] for r in rows])
     kind = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
     parts = [np.concatenate([r[k] for r in rows]) for k in (2, 3, 4, 5)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind), run.take(pa.array(lanes)), ticker.take(pa.array(lanes)), *map(pa.array, parts)], ["kind", "run_id", "ticker", "reading_id", "at", "value", "n"]
+        [pa.array(kind), *(c.take(pa.array(lanes)) for c in (run, ticker, number)), *map(pa.array, parts)], ["kind", "run_id", "ticker", "slice", "reading_id", "at", "value", "n"]
     )
 
 
@@ -202,7 +227,7 @@ def _chart_batches(p: Chart, rows_at_once: int = 150_000):
                 s = starts[starts < stop]
                 heads = pa.array(s)
                 col = lambda k: np.asarray(t.column(k).combine_chunks().slice(0, stop))
-                yield _slices([t.column("run_id").combine_chunks().take(heads), t.column("ticker").combine_chunks().take(heads)], col("own").astype(bool), col("fecha"), col("reading_id"), col("price"), s, p)
+                yield _slices([t.column(k).combine_chunks().take(heads) for k in ("run_id", "ticker", "slice")], col("own").astype(bool), col("fecha"), col("reading_id"), col("price"), s, p)
             held = t.slice(stop).to_batches() if stop < t.num_rows else []
             n = t.num_rows - stop
 
@@ -219,35 +244,64 @@ def _chart_batches(p: Chart, rows_at_once: int = 150_000):
     return run
 
 
-def sliced(readings: DataFrame, p: Chart, most_broadcast: int = 20_000) -> DataFrame:
-    """Readings with the slices that need them: ``run_id, ticker, slice, fecha, reading_id, price, own``.
+def _bins(placed: DataFrame, p: Chart) -> DataFrame:
+    """``_run, _ticker, _b, _own, _near``: the slice of each filled time bin of the cut series, and the slices that need its readings.
 
-    Series of more than ``slice_rows`` readings are cut into slices of equal time. Their table is broadcast if it has at most
-    ``most_broadcast`` rows, else joined by key; either way gives the same rows.
+    A slice is the bins that begin within ``slice_rows`` readings; its borders are the bins before and after it that hold the next ``border_rows`` readings.
     """
+    series = Window.partitionBy("_run", "_ticker")
+    bins = placed.groupBy(F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), F.col("_bin").alias("_b")).agg(F.count("*").alias("n"))
+    bins = bins.withColumn("c1", F.sum("n").over(series.orderBy("_b"))).withColumn("c0", F.col("c1") - F.col("n"))
+    bins = bins.withColumn("_own", F.dense_rank().over(series.orderBy(F.floor(F.col("c0") / p.slice_rows))) - 1)
+    near, by = [F.col("_own")], series.orderBy("_own")
+    for k in range(1, p.border_rows // p.slice_rows + 3):  # no more slices begin within a border
+        begin, end = F.min("c0").over(by.rangeBetween(k, k)), F.max("c1").over(by.rangeBetween(-k, -k))
+        near += [F.when(begin < F.col("c1") + p.border_rows, F.col("_own") + k), F.when(end > F.col("c0") - p.border_rows, F.col("_own") - k)]
+    return bins.select("_run", "_ticker", "_b", "_own", F.array_compact(F.array(*near)).alias("_near"))
+
+
+def sliced(readings: DataFrame, p: Chart, most_broadcast: int = 20_000, most_bins: int = 200_000) -> DataFrame:
+    """Readings with the slices that need them: ``run_id, ticker, slice, fecha, reading_id, price, own``; slice -1 is a whole series.
+
+    Series of more than ``slice_rows`` readings are cut into bins of equal time and these gathered into slices. The table of these series is broadcast if it has at most
+    ``most_broadcast`` rows and that of their bins if it can't have more than ``most_bins``, else joined by key; either way gives the same rows.
+    """
+    bin_rows = max(1, p.slice_rows // 8)
     sizes = readings.groupBy("run_id", "ticker").agg(F.count("*").alias("n"), F.min("fecha").alias("t0"), F.max("fecha").alias("t1"))
     large = sizes.where((F.col("n") > p.slice_rows) & (F.col("t1") > F.col("t0"))).select(
-        F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), "t0", (F.greatest((F.col("t1") - F.col("t0")) / F.ceil(F.col("n") / p.slice_rows), F.lit(1.0))).alias("width")
+        F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), "t0", F.ceil(F.col("n") / bin_rows).alias("bins"), (F.greatest((F.col("t1") - F.col("t0")) / F.ceil(F.col("n") / bin_rows), F.lit(1.0))).alias("width")
     )
     few = large.take(most_broadcast + 1)
     if len(few) <= most_broadcast:
         large = F.broadcast(readings.sparkSession.createDataFrame(few, large.schema))
-    place = (F.col("fecha") - F.col("t0")) / F.col("width")
-    own = F.coalesce(F.floor(place), F.lit(0)).cast("int")
-    joined = readings.join(large, F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker")), "left").withColumn("_place", place).withColumn("_own", own)
-    # a slice before the first or after the last one holds only a border and owns nothing
-    near = F.array_distinct(F.array(F.col("_own"), F.coalesce(F.floor(F.col("_place") - p.border), F.lit(0)).cast("int"), F.coalesce(F.floor(F.col("_place") + p.border), F.lit(0)).cast("int")))
-    rows = joined.select("run_id", "ticker", F.explode(near).alias("slice"), "fecha", "reading_id", "price", "_own")
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
+    placed = readings.join(large, same, "left").select(*readings.columns, F.floor((F.col("fecha") - F.col("t0")) / F.col("width")).alias("_bin"))
+    bins = _bins(placed.where(F.col("_bin").isNotNull()), p)
+    if len(few) <= most_broadcast and sum(r["bins"] + 1 for r in few) <= most_bins:
+        bins = F.broadcast(bins)
+    joined = placed.join(bins, same & (F.col("_bin") == F.col("_b")), "left")
+    whole = F.lit(-1)
+    rows = joined.select("run_id", "ticker", F.explode(F.coalesce("_near", F.array(whole))).alias("slice"), "fecha", "reading_id", "price", F.coalesce("_own", whole).alias("_own"))
     return rows.select("run_id", "ticker", "slice", "fecha", "reading_id", "price", (F.col("slice") == F.col("_own")).alias("own"))
 
 
 def chart_rows(readings: DataFrame, p: Chart = Chart()) -> DataFrame:
-    """Candidates and histograms of every slice (see ``_OUT``); readings have a valid price, fecha in microseconds and no null id."""
+    """Candidates, histograms and edges of every slice (see ``_OUT``); readings have a valid price, fecha in microseconds and no null id."""
     keys = ["run_id", "ticker", "slice"]
     placed = sliced(readings, p).repartition(*keys).sortWithinPartitions(*keys, "fecha", "reading_id")
     return placed.mapInArrow(_chart_batches(p), _OUT)
 
 
+def joined_edges(found: DataFrame) -> DataFrame:
+    """``run_id, ticker, slice, n, total, begins``: the stretches at the edges of slices by their number in the slice, with the length over all slices; the one that ``begins`` it has its first reading."""
+    w = Window.partitionBy("run_id", "ticker").orderBy("slice", "at", "reading_id")
+    edges = found.where(F.col("kind") == EDGE).select("run_id", "ticker", "slice", "at", "reading_id", "value", F.col("n").alias("size"))
+    goes_on = (F.col("value") == F.lag("value").over(w)) & (F.col("slice") != F.lag("slice").over(w))
+    edges = edges.select("*", (~F.coalesce(goes_on, F.lit(False))).alias("begins"), F.when(F.col("slice") == F.lag("slice").over(w), 1).otherwise(0).cast("bigint").alias("n"))
+    edges = edges.withColumn("stretch", F.sum(F.col("begins").cast("int")).over(w))
+    return edges.select("run_id", "ticker", "slice", "n", F.sum("size").over(Window.partitionBy("run_id", "ticker", "stretch")).alias("total"), "begins")
+
+
 def suspect_readings(cells: DataFrame, provenance: DataFrame, p: Chart = Chart()) -> DataFrame:
     """``reading_id, reason`` of suspect readings: ``impossible``, ``spike`` or ``standstill``.
 
@@ -258,10 +312,12 @@ def suspect_readings(cells: DataFrame, provenance: DataFrame, p: Chart = Chart()
     told = cells.where(F.col("adjclose").isNotNull() & ~F.isnan("adjclose") & F.col("reading_id").isNotNull())
     impossible = told.where("adjclose <= 0").select("reading_id").distinct().withColumn("reason", F.lit("impossible"))
     readings = told.where((F.col("adjclose") > 0) & F.col("fecha").isNotNull()).select("run_id", "ticker", "reading_id", F.expr("unix_micros(cast(fecha as timestamp))").alias("fecha"), F.col("adjclose").alias("price"))
-    found = chart_rows(readings, p).persist()  # few rows, read four times; a lost part is computed anew
+    found = chart_rows(readings, p).persist()  # few rows, read several times; a lost part is computed anew
+    edges = joined_edges(found)
     series = ["run_id", "ticker"]
     usual_move = found.where(F.col("kind") == MOVES).groupBy(*series).agg((F.percentile("value", 0.5, F.col("n")) / 0.6745).alias("move"))
-    runs = found.where(F.col("kind") == RUNS).groupBy(*series, "value").agg(F.sum("n").alias("n"))
+    runs = found.where(F.col("kind") == RUNS).select(*series, "value", "n").unionByName(edges.where("begins").select(*series, F.col("total").cast("double").alias("value"), F.lit(1).cast("bigint").alias("n")))
+    runs = runs.groupBy(*series, "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*series)
     as_long = runs.withColumn("as_long", F.sum("n").over(w.orderBy(F.desc("value")))).withColumn("all", F.sum("n").over(w))
     usual_run = as_long.where(F.col("as_long") > F.greatest(F.lit(p.rare_least), p.rare * F.col("all"))).groupBy(*series).agg(F.max("value").alias("usual"))
@@ -269,7 +325,10 @@ def suspect_readings(cells: DataFrame, provenance: DataFrame, p: Chart = Chart()
     same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
     spikes = found.where(F.col("kind") == SPIKE)
     spikes = spikes.join(usual_move, same, "left").where(F.col("value") >= p.spike * F.coalesce("move", F.lit(0.0)))
-    still = found.where(F.col("kind") == STILL)
+    place = edges.where(F.col("total") >= p.still).select(F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), F.col("slice").alias("_slice"), F.col("n").alias("_n"), "total", "begins")
+    open_ = found.where(F.col("kind") == OPEN).join(place, same & (F.col("slice") == F.col("_slice")) & (F.col("n") == F.col("_n")))
+    open_ = open_.where(~F.col("begins") | (F.col("value") > 0)).select(*series, "reading_id", "at", F.col("total").cast("double").alias("value"))
+    still = found.where(F.col("kind") == STILL).select(*series, "reading_id", "at", "value").unionByName(open_)
     still = still.join(usual_run, same, "left").where(F.col("value") >= F.greatest(F.lit(p.still), p.still_factor * F.coalesce("usual", F.lit(1.0))))
     still = still.select("run_id", "ticker", "reading_id", F.to_date(F.timestamp_micros("at")).alias("day"))
     still = still.join(halts, same & F.col("day").between(F.col("from_day"), F.col("to_day")), "left_anti")
