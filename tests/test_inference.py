@@ -109,3 +109,33 @@ def test_sources(spark, tmp_path):
     assert tables.as_json_rows(spark.createDataFrame([("k", 1)], "x string, y int"), ["x"]).first().json == '{"y":1}'
     tables.write_manifest(str(tmp_path / "m.json"), {"a": 1}, {"b": object})
     assert (tmp_path / "m.json").read_text().startswith("{")
+
+
+def test_registered_queries_take_the_full_number_of_replicas(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidegraph.plans import inference
+    from tidegraph.plans import network as net
+
+    seen = []
+    draws = lambda place: lambda *a, **k: seen.append(a[place])
+    nothing = lambda *a, **k: None
+    for module, names in ((net, ("brand_returns", "_universe", "_r")), (inference, ("_observed", "_variables", "cut_lineage")), (inference.graph, ("spanning_trees", "drop_isolated")), (inference.distance, ("mantegna",)),
+                          (inference.resample, ("ranked_weights", "edge_support", "expected_jaccard"))):
+        for name in names:
+            monkeypatch.setattr(module, name, nothing)
+    monkeypatch.setattr(inference.resample, "null_panel", draws(1))
+    monkeypatch.setattr(inference.resample, "bootstrap_panel", draws(1))
+    monkeypatch.setattr(inference.resample, "degree_test", draws(2))
+    for name, place in (("mrqap_dsp", 3), ("mrqap_freedman_lane", 3), ("residual_analysis", 4)):
+        monkeypatch.setattr(inference.regression, name, draws(place))
+    for query in ("jaccard_expected", "edge_bootstrap_support", "degree_distribution_test", "mrqap_dsp", "mrqap_freedman_lane", "symbolic_residuals"):
+        getattr(inference, query)(None, None)
+    assert seen == [1000, 1000, 1000, 10_000, 1000, 1000, 1000]
+    series = SimpleNamespace(where=nothing, select=nothing)
+    monkeypatch.setattr(inference, "_ntl", lambda *a: series)
+    monkeypatch.setattr(inference.F, "col", lambda c: SimpleNamespace(isNotNull=nothing))
+    monkeypatch.setattr(inference.timeseries, "stationarity", lambda *a: SimpleNamespace(first=lambda: {"n_obs": 200, "conclusion": "unit_root_I1"}))
+    monkeypatch.setattr(inference.timeseries, "bootstrap_band", draws(2))
+    inference.ntl_band(None, None)
+    assert seen[-1] == 2000

@@ -17,6 +17,7 @@ class Config:
     windows: tuple[int, ...] = (120, 240, 360, 480)
     replicas: int = 1000
     band_replicas: int = 2000
+    random_trees: int = 10_000
     link_ci: tuple[float, float] = (0.025, 0.975)
     band_ci: tuple[float, float] = (0.05, 0.95)
     attempts: int = 5

@@ -11,8 +11,6 @@ from tidegraph.operators import distance, graph, regression, resample, rolling,
 from tidegraph.plans import network as net
 from tidegraph.plans.runtime import cut_lineage
 
-#: Replicas of the registered queries; the operators take any number.
-REPLICAS = 100
 MRQAP_MIN_COMMON = 60
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +31,7 @@ def _observed(returns: DataFrame) -> DataFrame:
     return cut_lineage(graph.spanning_trees(net.backbone(distance.mantegna(returns, net.C.min_common))))
 
 
-def _null_trees(returns: DataFrame, kind: str, n: int = REPLICAS) -> DataFrame:
+def _null_trees(returns: DataFrame, kind: str, n: int = net.C.replicas) -> DataFrame:
     """Trees of null panels, keyed by ``rep``."""
     edges = distance.mantegna(resample.null_panel(returns, n, kind), net.C.min_common, ("rep",))
     return cut_lineage(graph.spanning_trees(graph.drop_isolated(edges, net.C.min_peers, ("rep",)), ("rep",)))
@@ -74,20 +72,20 @@ def jaccard_expected(spark, sf_dir):
 @query()
 def degree_distribution_test(spark, sf_dir):
     returns = net.brand_returns(spark, sf_dir)
-    return resample.degree_test(_observed(returns), _null_trees(returns, "permutation"), 10 * REPLICAS)
+    return resample.degree_test(_observed(returns), _null_trees(returns, "permutation"), net.C.random_trees)
 
 
 @query()
 def edge_bootstrap_support(spark, sf_dir):
     returns = net.brand_returns(spark, sf_dir)
-    edges = distance.mantegna(resample.bootstrap_panel(returns, REPLICAS), net.C.min_common, ("rep",))
+    edges = distance.mantegna(resample.bootstrap_panel(returns, net.C.replicas), net.C.min_common, ("rep",))
     return resample.edge_support(_observed(returns), cut_lineage(graph.spanning_trees(edges, ("rep",))), net._universe(returns))
 
 
 @query()
 def edge_perturbation(spark, sf_dir):
     edges = cut_lineage(net.backbone(distance.mantegna(net.brand_returns(spark, sf_dir), net.C.min_common)).select("i", "j", "w"))
-    return resample.perturbation_robustness(edges, net.C.perturbed, REPLICAS)
+    return resample.perturbation_robustness(edges, net.C.perturbed, net.C.perturbation_replicas)
 
 
 _STATS = net.SQL["descriptive_stats"]
@@ -121,7 +119,7 @@ def ntl_band(spark, sf_dir):
     kept = series.where(F.col("value").isNotNull())
     if said is None or said["n_obs"] < 20:  # no band for so short a series
         return kept.select("t", "value", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("too short").alias("scheme"))
-    return timeseries.bootstrap_band(series.select("t", "value"), said["conclusion"], REPLICAS)
+    return timeseries.bootstrap_band(series.select("t", "value"), said["conclusion"], net.C.band_replicas)
 
 
 @query()
@@ -145,17 +143,17 @@ _XS = ["mantegna", "spearman", "same_sector"]
 
 @query()
 def mrqap_dsp(spark, sf_dir):
-    return net._r(regression.mrqap_dsp(_variables(spark, sf_dir), "symbolic", _XS, REPLICAS), "beta", "t_obs", "vif")
+    return net._r(regression.mrqap_dsp(_variables(spark, sf_dir), "symbolic", _XS, net.C.replicas), "beta", "t_obs", "vif")
 
 
 @query()
 def mrqap_freedman_lane(spark, sf_dir):
-    return net._r(regression.mrqap_freedman_lane(_variables(spark, sf_dir), "symbolic", _XS, REPLICAS), "beta", "t_obs")
+    return net._r(regression.mrqap_freedman_lane(_variables(spark, sf_dir), "symbolic", _XS, net.C.replicas), "beta", "t_obs")
 
 
 @query()
 def symbolic_residuals(spark, sf_dir):
-    return net._r(regression.residual_analysis(_variables(spark, sf_dir), "symbolic", ["mantegna", "spearman"], "same_sector", REPLICAS), "r2", "mean_diff")
+    return net._r(regression.residual_analysis(_variables(spark, sf_dir), "symbolic", ["mantegna", "spearman"], "same_sector", net.C.replicas), "r2", "mean_diff")
 
 
 @query(
