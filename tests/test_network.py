@@ -296,3 +296,23 @@ def test_bootstrap_blocks(spark):
         assert g.t.tolist() == list(range(53))
         assert (np.diff(g.src)[np.arange(52) % 5 != 4] == 1).all()
         assert g.src.between(0, 52).all()
+
+
+def test_rolling_runs_have_every_method_and_window(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    from tidegraph.operators import rolling
+    from tidegraph.plans import network as net
+
+    assert {"rolling_ntl_runs", "rolling_diagnostics_runs", "seasonality_cv_runs", "band_episodes_runs", "hub_stability_runs", "hub_summary_runs"} <= set(net.QUERIES)
+    x = np.random.default_rng(3).normal(0, 0.01, (40, 5))
+    returns = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(t), t, f"n{k}", float(x[t, k])) for t in range(40) for k in range(5)], "date date, t int, node string, r double")
+    step = lambda edges, ends, n: rolling.rolling_ntl(edges, ends, n, net.C.min_peers)
+    rows = net.rolling_runs(returns, step, ("mantegna", "spearman"), (36, 38, 50)).collect()
+    got = {(r.method, r.window, r.t_end): r.ntl for r in rows}
+    assert set(got) == {(m, w, t) for m in ("mantegna", "spearman") for w in (36, 38) for t in range(w - 1, 40)}
+    alone = rolling.rolling_ntl(rolling.rolling_spearman(returns, 38, net.C.common(38)), rolling.window_ends(returns, 38), 5, net.C.min_peers)
+    assert {r.t_end: r.ntl for r in alone.collect()} == pytest.approx({t: v for (m, w, t), v in got.items() if (m, w) == ("spearman", 38)})
+    assert net.C.windows == (120, 240, 360, 480)

@@ -15,6 +15,7 @@ class Config:
     quantiles: tuple[float, float] = (1 / 3, 2 / 3)
     min_symbol_obs: int = 30
     windows: tuple[int, ...] = (120, 240, 360, 480)
+    hub_windows: tuple[int, ...] = (120, 240, 480)
     replicas: int = 1000
     band_replicas: int = 2000
     random_trees: int = 10_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,53 @@ def ntl_band_episodes(spark, sf_dir):
     return rolling.episodes(band)
 
 
+def _ntl_runs(spark, sf_dir) -> DataFrame:
+    return net.ntl_runs(spark, sf_dir).select("method", "window", F.col("t_end").alias("t"), F.col("ntl").alias("value"))
+
+
+def _stationarity_runs(series: DataFrame) -> DataFrame:
+    key = F.concat_ws("@", "method", "window")
+    parts = F.split("run", "@")
+    return timeseries.stationarity(series.select(key.alias("run"), "t", "value"), "run").select(parts[0].alias("method"), parts[1].cast("int").alias("window"), "*").drop("run")
+
+
+@query()
+def stationarity_runs(spark, sf_dir):
+    return _stationarity_runs(_ntl_runs(spark, sf_dir))
+
+
+def _bands(spark, sf_dir) -> DataFrame:
+    """``method, window, t, value, low, high, scheme`` of all runs; a series of less than 20 values has no band."""
+    series = _ntl_runs(spark, sf_dir)
+    said = {(r["method"], r["window"]): r["conclusion"] for r in _stationarity_runs(series).collect() if r["n_obs"] >= 20}  # a row a run
+    parts = []
+    for m in net.SPECS:
+        for w in net.C.windows:
+            one = series.where((F.col("method") == m) & (F.col("window") == w) & F.col("value").isNotNull()).select("t", "value")
+            none = F.lit(None).cast("double")
+            rows = timeseries.bootstrap_band(one, said[m, w], net.C.band_replicas) if (m, w) in said else one.select("t", "value", none.alias("low"), none.alias("high"), F.lit("too short").alias("scheme"))
+            parts.append(net._keyed(rows, method=m, window=w))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
+@query()
+def ntl_band_runs(spark, sf_dir):
+    return _bands(spark, sf_dir)
+
+
+@query()
+def ntl_band_episodes_runs(spark, sf_dir):
+    bands = _bands(spark, sf_dir).select("method", "window", F.col("t").alias("t_end"), F.col("value").alias("ntl"), "low", "high")
+    return net.by_run(bands, rolling.episodes)
+
+
+@query()
+def edge_perturbation_runs(spark, sf_dir):
+    returns = net.brand_returns(spark, sf_dir)
+    edges = {m: cut_lineage(net.backbone(net.distances(returns, m)).select("i", "j", "w")) for m in net.METHODS}
+    return reduce(DataFrame.unionByName, [net._keyed(resample.perturbation_robustness(e, net.C.perturbed, net.C.perturbation_replicas), method=m) for m, e in edges.items()])
+
+
 def _variables(spark, sf_dir) -> DataFrame:
     """The distances of the nation panel by three methods and whether two nations share a region."""
     returns = net.nation_returns(spark, sf_dir)

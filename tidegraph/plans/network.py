@@ -7,6 +7,7 @@ part brands as nodes, ``nation`` the suppliers' nations with the regions as sect
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from tidegraph.plans.runtime import cut_lineage
 from tidegraph.sources.tables import table
 
 C = Config()
-WINDOW = 120
+WINDOW = 120  #: of the queries of one run; the queries ..._runs have all of C.windows
+SPECS = ("mantegna", "spearman", "symbolic", "symbolic_inwindow")
 PARTITIONS = [("thirds", 1 / 3, 2 / 3), ("quarters", 0.25, 0.75), ("narrow", 0.4, 0.6), ("wide", 0.2, 0.8), ("skewed", 0.3, 0.8)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,14 +439,14 @@ def _universe(returns: DataFrame) -> int:
     return returns.select("node").distinct().count()
 
 
-def _rolling_edges(returns: DataFrame, method: str) -> DataFrame:
+def _rolling_edges(returns: DataFrame, method: str, window: int = WINDOW) -> DataFrame:
     if method == "mantegna":
-        return cut_lineage(rolling.rolling_mantegna(returns, WINDOW, C.common(WINDOW)))
+        return cut_lineage(rolling.rolling_mantegna(returns, window, C.common(window)))
     if method == "spearman":
-        return cut_lineage(rolling.rolling_spearman(returns, WINDOW, C.common(WINDOW)))
+        return cut_lineage(rolling.rolling_spearman(returns, window, C.common(window)))
     if method == "symbolic_inwindow":
-        return cut_lineage(rolling.rolling_symbolic_inwindow(returns, WINDOW, C.quantiles, C.min_symbol_obs, C.common(WINDOW)))
-    return cut_lineage(rolling.rolling_symbolic(brand_symbols(returns), WINDOW, C.common(WINDOW)))
+        return cut_lineage(rolling.rolling_symbolic_inwindow(returns, window, C.quantiles, C.min_symbol_obs, C.common(window)))
+    return cut_lineage(rolling.rolling_symbolic(brand_symbols(returns), window, C.common(window)))
 
 
 def _rolling(spark, sf_dir, method: str) -> tuple[DataFrame, DataFrame, int]:
@@ -452,6 +454,30 @@ def _rolling(spark, sf_dir, method: str) -> tuple[DataFrame, DataFrame, int]:
     return _rolling_edges(returns, method), rolling.window_ends(returns, WINDOW), _universe(returns)
 
 
+def _keyed(df: DataFrame, **keys) -> DataFrame:
+    return df.select(*(F.lit(v).alias(k) for k, v in keys.items()), "*")
+
+
+def rolling_runs(returns: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], methods=(), windows=()) -> DataFrame:
+    """The rows that ``step`` gives from distances, window ends and number of nodes, of every method and window: ``method, window, ...``."""
+    n = _universe(returns)
+    runs = [(m, w) for m in methods or SPECS for w in windows or C.windows]
+    parts = [cut_lineage(_keyed(step(_rolling_edges(returns, m, w), rolling.window_ends(returns, w), n), method=m, window=w)) for m, w in runs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def by_run(rows: DataFrame, step: Callable[[DataFrame], DataFrame], methods=(), windows=()) -> DataFrame:
+    """The rows that ``step`` gives from those of each run: ``method, window, ...``."""
+    runs = [(m, w) for m in methods or SPECS for w in windows or C.windows]
+    parts = [_keyed(step(rows.where((F.col("method") == m) & (F.col("window") == w)).drop("method", "window")), method=m, window=w) for m, w in runs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ntl_runs(spark, sf_dir) -> DataFrame:
+    """``method, window, t_end, date, ntl, status`` of all runs."""
+    return rolling_runs(brand_returns(spark, sf_dir), lambda edges, ends, n: rolling.rolling_ntl(edges, ends, n, C.min_peers))
+
+
 def _rolling_distances(method: str) -> tuple[str, ...]:
     m, within = C.common(WINDOW), f"t BETWEEN t_end - {WINDOW - 1} AND t_end"
     moments = _W.format(m=m).replace("rho", _RHO).replace("n_common", "count(*)")
@@ -495,7 +521,7 @@ def _add_rolling(method: str) -> None:
     SQL[f"rolling_ntl_{method}"] = _with(*_rolling_sql(method)) + "SELECT t_end, CAST(date AS VARCHAR) AS date, round(ntl, 6) AS ntl, status FROM stat"
 
 
-for _method in ("mantegna", "spearman", "symbolic", "symbolic_inwindow"):
+for _method in SPECS:
     _add_rolling(_method)
 
 
@@ -565,6 +591,57 @@ def band_episodes(spark, sf_dir):
     return _r(rolling.episodes(banded), "ntl_mean", "magnitude_mean", "magnitude_max")
 
 
+# ---------------------------------------------------------------- every method and window
+
+
+@query()
+def rolling_ntl_runs(spark, sf_dir):
+    return _r(ntl_runs(spark, sf_dir), "ntl").withColumn("date", F.col("date").cast("string"))
+
+
+@query()
+def rolling_diagnostics_runs(spark, sf_dir):
+    return by_run(ntl_runs(spark, sf_dir), rolling.diagnostics)
+
+
+@query()
+def seasonality_cv_runs(spark, sf_dir):
+    return _r(by_run(ntl_runs(spark, sf_dir), rolling.seasonality), "cv_max")
+
+
+@query()
+def band_episodes_runs(spark, sf_dir):
+    rows = by_run(ntl_runs(spark, sf_dir), lambda series: rolling.episodes(rolling.rolling_band(series, 26, 1.0)))
+    return _r(rows, "ntl_mean", "magnitude_mean", "magnitude_max")
+
+
+def hub_runs(spark, sf_dir) -> DataFrame:
+    step = lambda edges, ends, n: rolling.hub_stability(cut_lineage(rolling.valid_trees(edges, ends, n, C.min_peers)))
+    return rolling_runs(brand_returns(spark, sf_dir), step, METHODS, C.hub_windows)
+
+
+@query()
+def hub_stability_runs(spark, sf_dir):
+    return hub_runs(spark, sf_dir)
+
+
+@query()
+def hub_summary_runs(spark, sf_dir):
+    return _r(by_run(hub_runs(spark, sf_dir), rolling.hub_summary, METHODS, C.hub_windows), "pct")
+
+
+@query()
+def convergence_rolling_240(spark, sf_dir):
+    series = rolling_runs(brand_returns(spark, sf_dir), lambda edges, ends, n: rolling.rolling_ntl(edges, ends, n, C.min_peers), METHODS, (240,))
+    return _r(robustness.series_correlation(series.select("method", "t_end", "ntl")), "r")
+
+
+@query()
+def leave_one_out_runs(spark, sf_dir):
+    returns = brand_returns(spark, sf_dir)
+    return _r(reduce(DataFrame.unionByName, [_keyed(robustness.leave_one_out(cut_lineage(distances(returns, m))), method=m) for m in METHODS]), "new_ntl", "jaccard")
+
+
 # ---------------------------------------------------------------- membership
 
 
