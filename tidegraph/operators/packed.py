@@ -6,17 +6,19 @@ child offsets of a list array follow from them, and the list array is flattened
 Rows whose quoting the masks can't settle (quotes that open or close inside a value, brackets inside the
 field, both kinds of quotes) are read by ``scan_field``, an exact reader of one field, so no row is guessed.
 
-Rules: ``; , | tab newline`` part values outside quotes, as do a slash with a blank beside it and two or more
-blanks; brackets around the whole field and empty slots are no values; a value loses its quotes and its outer white
-space, a doubled quote mark inside quotes stands for one. A quote mark opens only where a slot starts, so
-``L'AOL`` keeps its mark. An unclosed quote runs to the end of the field.
+Rules: ``; , | tab newline`` part values outside quotes, as do two or more blanks and slashes that have a blank, another
+delimiter or an end of the field (within its brackets) on either side, or follow a closed quote; brackets around the whole field and
+empty slots are no values; a value loses its quotes and its outer white space, a doubled quote mark inside quotes stands for one. A quote
+mark opens only where a slot starts, so ``L'AOL`` keeps its mark. An unclosed quote runs to the end of the field.
 
-Null, empty and blank fields give no rows; repeated rows and values are kept; a field of any length is one row
-of a batch; other columns of the input, whatever their names, are ignored.
+Null, empty and blank fields give no rows; repeated rows and values are kept; a field of any length is one row. The masks
+take some hundred bytes for a byte of text, so a batch is read in pieces of about ``PIECE_BYTES``, or of one
+field if that is larger. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 _OPEN, _CLOSE = b"([{<", b")]}>"
 _HARD = b";,|\t\n\r"
+PIECE_BYTES = 1 << 20
 #: Two and three byte UTF-8 white space: no-break, next line, ogham, general punctuation, ideographic, byte order mark.
 _WIDE = (b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
 
@@ -45,8 +48,22 @@ def split_packed(df: DataFrame, row_id: str, packed: str) -> DataFrame:
 
 def split_batch(ids: pa.Array, packed: pa.Array) -> Iterator[pa.RecordBatch]:
     """Batches of ``row_id, pos, value`` for one batch of fields."""
-    if not len(packed):
-        return
+    for begin, size in _pieces(packed):
+        yield from _split_piece(ids.slice(begin, size), packed.slice(begin, size))
+
+
+def _pieces(packed: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of pieces of about ``PIECE_BYTES`` of text."""
+    total = np.cumsum(pc.binary_length(packed).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(packed):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + PIECE_BYTES, side="right")))
+        yield begin, end - begin
+        begin = end
+
+
+def _split_piece(ids: pa.Array, packed: pa.Array) -> Iterator[pa.RecordBatch]:
     lists, unsure = split_arrays(packed)
     for take, values in ((None, lists), (unsure, _scanned(packed, unsure))):
         parents = pc.list_parent_indices(values)
@@ -74,17 +91,16 @@ def _next_true(mask: np.ndarray) -> np.ndarray:
 def split_arrays(packed: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
     """The list array of the values of each field, and the rows left to the exact reader (empty in the list array)."""
     text = packed.cast(pa.large_string()).fill_null("")
-    text = pa.concat_arrays([text]) if text.offset == 0 else pa.array(text.to_pylist(), pa.large_string())
     rows = len(text)
-    off = np.frombuffer(text.buffers()[1], np.int64)[: rows + 1]
-    raw = text.buffers()[2]
-    n = int(off[-1])
-    data = np.frombuffer(raw, np.uint8)[:n] if raw is not None and n else np.zeros(0, np.uint8)
+    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + rows + 1] if rows else np.zeros(1, np.int64)
+    n = int(off[-1] - off[0])
+    data = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]] if n else np.zeros(0, np.uint8)
+    off = off - off[0]
     if not n:
         return pa.LargeListArray.from_arrays(pa.array(np.zeros(rows + 1, np.int64)), pa.array([], pa.large_string())), np.zeros(0, np.int64)
     # one guard byte on either side keeps neighbours inside the arrays
     row = np.repeat(np.arange(rows), np.diff(off))
-    first, last = off[:-1][row], off[1:][row] - 1
+    first = off[:-1][row]
     at = np.arange(n)
     soft = np.isin(data, np.frombuffer(b" \x0b\x0c", np.uint8))
     for wide in _WIDE:
@@ -95,9 +111,6 @@ def split_arrays(packed: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
             soft[k : len(hit) + k] |= hit
     hard = np.isin(data, np.frombuffer(_HARD, np.uint8))
     blank = soft | np.isin(data, np.frombuffer(b"\t\n\r", np.uint8))
-    before = np.concatenate([[True], blank[:-1]]) & (at > first)
-    after = np.concatenate([blank[1:], [True]]) & (at < last)
-    delimiter = hard | ((data == 0x2F) & (before | after))
     # brackets around the whole field
     solid_from, solid_to = _next_true(~blank), _last_true(~blank)
     filled = np.flatnonzero(np.diff(off) > 0)
@@ -114,12 +127,20 @@ def split_arrays(packed: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
     start, end = np.zeros(rows, np.int64), np.zeros(rows, np.int64)  # of what lies inside the brackets
     start[filled], end[filled] = head + wrapped, tail + 1 - wrapped
     inside = (at >= start[row]) & (at < end[row])
+    # a run of slashes parts values if a blank, a hard delimiter or an end of the field lies on either side
+    slash = (data == 0x2F) & inside
+    parts = hard | blank
+    run_from, run_to = np.maximum(_last_true(~slash) + 1, start[row]), np.minimum(_next_true(~slash), end[row])
+    opens_run = (run_from == start[row]) | parts[np.clip(run_from - 1, 0, n - 1)]
+    ends_run = (run_to == end[row]) | parts[np.clip(run_to, 0, n - 1)]
+    delimiter = hard | (slash & (opens_run | ends_run))
     # what lies beside each quote mark but for blanks: a delimiter, an end of the field, or other text
     edge = ~soft
     left = np.concatenate([[-1], _last_true(edge)[:-1]])
     right = np.concatenate([_next_true(edge)[1:], [n]])
-    at_start = (left < start[row]) | delimiter[np.clip(left, 0, n - 1)]
-    at_end = (right >= end[row]) | delimiter[np.clip(right, 0, n - 1)]
+    wide_gap = soft & np.concatenate([[False], soft[:-1]]) & (at > first) & ~_continues(data)
+    at_start = (left < start[row]) | delimiter[np.clip(left, 0, n - 1)] | (np.concatenate([[-1], _last_true(wide_gap)[:-1]]) > left)
+    at_end = (right >= end[row]) | delimiter[np.clip(right, 0, n - 1)] | (np.concatenate([_next_true(wide_gap)[1:], [n]]) < right)
     double, single = (data == 0x22) & inside, (data == 0x27) & inside
     single_edge = single & (at_start | at_end)
     has_double = np.bincount(row[double], minlength=rows) > 0
@@ -136,8 +157,10 @@ def split_arrays(packed: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
     count = np.cumsum(mark)
     base = np.concatenate([[0], count])[start[row]]
     quoted = (count - base) % 2 == 1
-    wide_gap = soft & np.concatenate([[False], soft[:-1]]) & (at > first)
-    wide_gap &= ~_continues(data)
+    # single marks inside single quotes come in pairs, else they close there
+    loose = np.flatnonzero(single & ~mark & quoted & ~has_double[row])
+    run_starts = np.flatnonzero(np.diff(loose, prepend=-2) != 1)
+    unsure[row[loose[run_starts[np.diff(np.append(run_starts, len(loose))) % 2 == 1]]]] = True
     cut = (delimiter | wide_gap) & inside & ~quoted
     # slots lie between cuts; trimmed, unquoted and trimmed again they are the values
     sure = np.flatnonzero((end > start) & ~unsure)
@@ -194,8 +217,11 @@ def scan_field(field: str | None) -> list[str]:
     if n - k >= 2 and pairs.get(s[k]) == s[n - 1] and _closes_last(s[k:n], s[k], s[n - 1]):
         k, n = k + 1, n - 1
     out = []
+    # slashes in a run with a blank, a delimiter or an end of the field on either side
+    ends = lambda x: not k <= x < n or blank(s[x]) or s[x] in ";,|"
+    slashes = {x for run in re.finditer("/+", s[k:n]) if ends(k + run.start() - 1) or ends(k + run.end()) for x in range(k + run.start(), k + run.end())}
     while k < n:
-        while k < n and (blank(s[k]) or s[k] in ";,|" or _slash(s, k, blank)):
+        while k < n and (blank(s[k]) or s[k] in ";,|" or k in slashes):
             k += 1
         if k >= n:
             break
@@ -210,21 +236,19 @@ def scan_field(field: str | None) -> list[str]:
                 value.append(s[k])
                 k += 1
             k += 1
+            while k < n and s[k] == "/":
+                k += 1
             if trim("".join(value)):
                 out.append(trim("".join(value)))
             continue
-        begin = k
-        while k < n and s[k] not in ";,|\t\n\r" and not _slash(s, k, blank) and not (blank(s[k]) and k + 1 < len(s) and blank(s[k + 1])):
+        first = k
+        while k < n and s[k] not in ";,|\t\n\r" and k not in slashes and not (blank(s[k]) and k + 1 < len(s) and blank(s[k + 1])):
             k += 1
-        if trim(s[begin:k]):
-            out.append(trim(s[begin:k]))
+        if trim(s[first:k]):
+            out.append(trim(s[first:k]))
     return out
 
 
-def _slash(s: str, k: int, blank) -> bool:
-    return s[k] == "/" and ((k > 0 and blank(s[k - 1])) or (k + 1 < len(s) and blank(s[k + 1])))
-
-
 def _closes_last(s: str, a: str, b: str) -> bool:
     depth = 0
     for k, c in enumerate(s):

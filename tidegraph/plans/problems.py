@@ -60,7 +60,7 @@ def _values(source: str, row_id: str, packed: str, extra: str = "") -> str:
     """SQL for ``row_id, pos, value`` of a packed field."""
     trimmed = f"regexp_replace({packed}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
     bare = f"CASE WHEN regexp_matches({trimmed}, '^(\\[.*\\]|\\(.*\\)|\\{{.*\\}})$', 's') THEN {trimmed}[2:-2] ELSE {trimmed} END"
-    parted = f"regexp_replace({bare}, '{_BLANK}/|/{_BLANK}', ';', 'g')"
+    parted = f"regexp_replace({bare}, '^/+|/+$|[{_BLANK[1:-1]};,|]/+|/+[{_BLANK[1:-1]};,|]', ';', 'g')"
     token = "\"(?:[^\"]|\"\")*\"|''(?:[^'']|'''')*''|[^;,|\\t\\n\\r\"''\\s\\x{00A0}][^;,|\\t\\n\\r]*"
     bound = f"regexp_replace(v, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
     double = "WHEN v[1] = chr(34) THEN replace(v[2:-2], chr(34) || chr(34), chr(34))"
