@@ -1,8 +1,9 @@
 import random
+from fractions import Fraction
 
 import pytest
 
-from tidegraph.llm.mixing import Target, mix, mix_report, pfair_order, source_offsets, whole_blocks
+from tidegraph.llm.mixing import Target, blocks_before, mix, mix_report, pfair_slots, source_offsets, whole_weights
 
 SIZES = "source string, doc_id long, n_tokens long, slot string, offset string"
 
@@ -11,20 +12,44 @@ def sizes(spark, rows):
     return spark.createDataFrame([(s, d, n, "x", "y") for s, d, n in rows], SIZES)
 
 
-@pytest.mark.parametrize("shares", [[0.3, 0.2, 0.15, 0.15, 0.1, 0.06, 0.04], [1.0], [0.5, 0.5], [0.9, 0.0999, 0.0001], [1, 2, 3]])
-def test_pfair_deviation_is_below_one_block(shares):
-    blocks = whole_blocks(shares, 1000)
-    assert sum(blocks) == 1000
-    slots = pfair_order(blocks)
-    assert sorted(t for s in slots for t in s) == list(range(1000))
-    for n, mine in zip(blocks, slots):
-        assert len(mine) == n
-        for k, t in enumerate(mine):
-            assert k * 1000 // n <= t < -(-(k + 1) * 1000 // n)  # between release and deadline
-        done = 0
-        for t in range(1000):
-            done += done < n and mine[done] == t
-            assert abs(done - n / 1000 * (t + 1)) < 1
+@pytest.mark.parametrize(
+    "shares", [[0.3, 0.2, 0.15, 0.15, 0.1, 0.06, 0.04], [1.0], [0.5, 0.5], [0.9, 0.0999, 0.0001], [1, 2, 3], [1 / 3, 1 / 7, 0.12345, 0.4], [0.30001, 0.25, 0.2, 0.12345, 0.1, 0.02, 0.00654]]
+)
+def test_pfair_deviation_is_below_one_block_of_the_exact_share(shares):
+    weights = whole_weights(shares)
+    exact = [Fraction(str(s)) / sum(Fraction(str(s)) for s in shares) for s in shares]
+    assert all(abs(Fraction(w, sum(weights)) - e) <= Fraction(1, 1 << 43) for w, e in zip(weights, exact))
+    chosen, blocks = pfair_slots(0, 10_000, weights)
+    done = [0] * len(shares)
+    for t, (s, k) in enumerate(zip(chosen, blocks)):
+        assert k == done[s]
+        done[s] += 1
+        assert all(abs(n - e * (t + 1)) < 1 for n, e in zip(done, exact))
+    # a segment that begins anywhere knows what lies before it
+    for begin in [1, 2, 3, 10, 11, 12, 13, 999, 1000, 4321, 9999]:
+        assert blocks_before(begin, weights) == [chosen[:begin].count(s) for s in range(len(shares))]
+        assert pfair_slots(begin, 10_000, weights) == (chosen[begin:], blocks[begin:])
+
+
+def test_segments_far_on_follow_each_other():
+    rng = random.Random(8)
+    for _ in range(40):
+        weights = whole_weights([rng.random() ** 3 + 0.001 for _ in range(rng.randint(2, 9))])
+        begin = rng.randrange(10**9)
+        chosen, _ = pfair_slots(begin, begin + 300, weights)
+        before = blocks_before(begin, weights)
+        for t in range(0, 300, 7):
+            now = blocks_before(begin + t, weights)
+            assert sum(now) == begin + t
+            assert now == [n + chosen[:t].count(s) for s, n in enumerate(before)]
+            assert all(abs(n * sum(weights) - w * (begin + t)) < sum(weights) for n, w in zip(now, weights))
+
+
+def test_whole_weights():
+    assert whole_weights([0.5, 0.25, 0.25]) == [2, 1, 1]
+    tiny = whole_weights([1 / 3, 1e-30, 0.7])
+    assert sum(tiny) == 1 << 44
+    assert tiny[1] == 1
 
 
 def test_offsets_are_prefix_sums(spark):
@@ -45,7 +70,7 @@ def test_mixture_meets_shares_and_caps(spark):
     rows = [(s, 10_000 * k + d, rng.randint(1, 200)) for k, (s, n) in enumerate((("big", 3000), ("mid", 800), ("tiny", 60), ("other", 100), (None, 50))) for d in range(n)]
     targets = [Target("big", 0.5, 1), Target("mid", 0.3, 2), Target("tiny", 0.2, 3), Target("absent", 0.1, 2)]
     df = sizes(spark, rows)
-    mixed = mix(df, targets, block=500, period=100)
+    mixed = mix(df, targets, block=500, segment=3)
     got = mixed.collect()
     assert {r.source for r in got} == {"big", "mid", "tiny"}
     used = {}
@@ -67,9 +92,12 @@ def test_mixture_meets_shares_and_caps(spark):
         if r.slot != last:
             done = sum(run.values())
             for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)):
-                assert abs(run[s] - w * done) < 500 * 2 + 400
+                assert abs(run[s] - w * done) < 500 + 3 * 200  # one block, and records that reach over the ends of blocks
             last = r.slot
         run[r.source] += r.n_tokens
+    # the slots and blocks are those of one run over all slots
+    chosen, blocks = pfair_slots(0, max(r.slot for r in got) + 1, whole_weights([0.5, 0.3, 0.2]))
+    assert all((("big", "mid", "tiny")[chosen[r.slot]], blocks[r.slot]) == (r.source, r.offset // 500) for r in got)
     report = {r.source: r for r in mix_report(mixed, targets).collect()}
     assert report["absent"].tokens == 0
     assert report["absent"].records == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.mixing import Target, kept, mix, mix_report
@@ -13,17 +13,25 @@ from tidegraph.llm.spam import spam_pages
 from tidegraph.llm.tokens import token_counts
 from tidegraph.sources.tables import table
 
-_MOST_NAMES = 1000  # pack_sizes and mix_targets are fixed tables of a few rows
+MOST_NAMES = 1000  #: pack_sizes and mix_targets are parameter tables of a few rows
+
+
+def _few(rows: DataFrame) -> list[Row]:
+    """The rows of a parameter table; more than ``MOST_NAMES`` are an error."""
+    got = rows.take(MOST_NAMES + 1)
+    if len(got) > MOST_NAMES:
+        raise ValueError(f"a parameter table has more than {MOST_NAMES} names")
+    return got
 
 
 def _packs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
-    rows = table(spark, sf_dir, "pack_sizes").groupBy("pack_name").agg(F.max("capacity_tokens").alias("c")).where("c > 0").limit(_MOST_NAMES).collect()
-    return sorted((r["pack_name"], r["c"]) for r in rows)
+    rows = table(spark, sf_dir, "pack_sizes").groupBy("pack_name").agg(F.max("capacity_tokens").alias("c")).where("c > 0 and pack_name is not null")
+    return sorted((r["pack_name"], r["c"]) for r in _few(rows))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[Target]:
-    rows = table(spark, sf_dir, "mix_targets").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m")).limit(_MOST_NAMES).collect()
-    return [Target(r["source"], r["w"], r["m"]) for r in sorted(rows, key=lambda r: r["source"])]
+    rows = table(spark, sf_dir, "mix_targets").where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m"))
+    return [Target(r["source"], r["w"], r["m"]) for r in sorted(_few(rows), key=lambda r: r["source"])]
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
