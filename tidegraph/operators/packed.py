@@ -46,6 +46,21 @@ def split_packed(df: DataFrame, row_id: str, packed: str) -> DataFrame:
     return rows.mapInArrow(run, f"row_id {kind}, pos bigint, value string")
 
 
+def packed_lists(df: DataFrame, row_id: str, packed: str) -> DataFrame:
+    """``(row_id, values)``: one row for each non-null ``packed`` with the array of its values in their order, repeated ones included."""
+    kind = df.schema[row_id].dataType.simpleString()
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(packed).cast("string").alias("packed")).where(F.col("packed").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for begin, size in _pieces(texts):
+                for own, values in _piece_lists(ids.slice(begin, size), texts.slice(begin, size)):
+                    yield pa.RecordBatch.from_arrays([own, values.cast(pa.list_(pa.string()))], ["row_id", "values"])
+
+    return rows.mapInArrow(run, f"row_id {kind}, values array<string>")
+
+
 def split_batch(ids: pa.Array, packed: pa.Array) -> Iterator[pa.RecordBatch]:
     """Batches of ``row_id, pos, value`` for one batch of fields."""
     for begin, size in _pieces(packed):
@@ -63,13 +78,22 @@ def _pieces(packed: pa.Array) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def _split_piece(ids: pa.Array, packed: pa.Array) -> Iterator[pa.RecordBatch]:
+def _piece_lists(ids: pa.Array, packed: pa.Array) -> Iterator[tuple[pa.Array, pa.LargeListArray]]:
+    """Rows and their list arrays: those the masks settle, then those of the exact reader."""
     lists, unsure = split_arrays(packed)
-    for take, values in ((None, lists), (unsure, _scanned(packed, unsure))):
+    if not len(unsure):
+        yield ids, lists
+        return
+    sure = pa.array(np.delete(np.arange(len(packed)), unsure))
+    yield ids.take(sure), lists.take(sure)
+    yield ids.take(pa.array(unsure)), _scanned(packed, unsure)
+
+
+def _split_piece(ids: pa.Array, packed: pa.Array) -> Iterator[pa.RecordBatch]:
+    for own, values in _piece_lists(ids, packed):
         parents = pc.list_parent_indices(values)
         offsets = np.asarray(values.offsets)
         pos = np.arange(len(parents)) + offsets[0] - offsets[np.asarray(parents)] + 1
-        own = ids if take is None else ids.take(pa.array(take))
         yield pa.RecordBatch.from_arrays([own.take(parents), pa.array(pos, pa.int64()), values.flatten().cast(pa.string())], ["row_id", "pos", "value"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import has_text, strip, words_joined
-from tidegraph.operators.packed import split_packed
+from tidegraph.operators.packed import packed_lists
 
 OPEN_END = "9999-12-31"
 
@@ -24,7 +24,7 @@ def latest_per_date(rows: DataFrame, keys: list[str], date: str, stamp: str, tie
 
 
 def versions(rows: DataFrame, keys: list[str], date: str, value: Column) -> DataFrame:
-    """``keys, valid_from, valid_to, n_rows`` for each run of equal ``value``; ``valid_to`` is the start of the next run, null if none.
+    """``keys, value, valid_from, valid_to, n_rows`` for each run of equal ``value``; ``valid_to`` is the start of the next run, null if none.
 
     ``rows`` has one row for each key and date. Nulls in a key form a key of their own; a null value is a value.
     """
@@ -34,9 +34,9 @@ def versions(rows: DataFrame, keys: list[str], date: str, value: Column) -> Data
     differs = ~F.col("_hash").eqNullSafe(F.lag("_hash").over(w)) | ~F.col("_value").eqNullSafe(F.lag("_value").over(w))
     starts = marked.withColumn("_new", (F.lag(F.lit(1)).over(w).isNull() | differs).cast("int"))
     island = starts.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = island.groupBy(*keys, "_island").agg(F.min(date).alias("valid_from"), F.count("*").alias("n_rows"))
+    spans = island.groupBy(*keys, "_island").agg(F.min(date).alias("valid_from"), F.count("*").alias("n_rows"), F.first("_value").alias("value"))
     after = F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("_island"))
-    return spans.withColumn("valid_to", after).select(*keys, "valid_from", "valid_to", "n_rows")
+    return spans.withColumn("valid_to", after).select(*keys, "value", "valid_from", "valid_to", "n_rows")
 
 
 def snapshots(history: DataFrame) -> DataFrame:
@@ -50,23 +50,31 @@ def snapshots(history: DataFrame) -> DataFrame:
     return held.select("*", F.row_number().over(w).alias("n"), F.lead("effective_date").over(w).alias("next_date"))
 
 
+def snapshot_lists(history: DataFrame) -> DataFrame:
+    """``index_code, n, effective_date, next_date, tickers``: the array of the distinct tickers of each snapshot."""
+    # the list travels with its dates, so no join back is needed
+    tagged = snapshots(history).select(F.struct("index_code", "n", "effective_date", "next_date").alias("snap"), "tickers")
+    return packed_lists(tagged, "snap", "tickers").select("row_id.*", F.array_distinct("values").alias("tickers"))
+
+
 def snapshot_members(history: DataFrame) -> DataFrame:
     """``index_code, n, effective_date, next_date, ticker``: the distinct tickers of each snapshot."""
-    held = snapshots(history)
-    # the list travels with its dates, so no join back is needed
-    tagged = held.select(F.struct("index_code", "n", "effective_date", "next_date").alias("snap"), "tickers")
-    return split_packed(tagged, "snap", "tickers").select("row_id.*", F.col("value").alias("ticker")).distinct()
+    return snapshot_lists(history).select("index_code", "n", "effective_date", "next_date", F.explode("tickers").alias("ticker"))
 
 
 def memberships(history: DataFrame) -> DataFrame:
-    """``index_code, ticker, valid_from, valid_to``: unbroken runs of snapshots that hold the ticker; ``valid_to`` null while it lasts."""
-    w = Window.partitionBy("index_code", "ticker").orderBy("n")
-    # presence is the attribute: its hash over (ticker, n - place) changes where a snapshot lacks the ticker
-    mark = F.xxhash64(F.col("n") - F.lag("n").over(w))
-    rows = snapshot_members(history).withColumn("_new", F.coalesce((mark != F.xxhash64(F.lit(1))) | F.lag("n").over(w).isNull(), F.lit(True)).cast("int"))
-    island = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = island.groupBy("index_code", "ticker", "_island").agg(F.min("effective_date").alias("valid_from"), F.max_by("next_date", "n").alias("valid_to"))
-    return spans.drop("_island")
+    """``index_code, ticker, valid_from, valid_to``: unbroken runs of snapshots that hold the ticker; ``valid_to`` null while it lasts.
+
+    The attribute is presence: a snapshot with the ticker says ``true`` on its date and, unless it is the last, ``false`` on the date of the next
+    one, which that one overrules if it holds the ticker too. The versions of ``true`` are the memberships. Rows of a ticker are brought
+    together once; what follows keeps that partitioning.
+    """
+    keys = ["index_code", "ticker"]
+    held = snapshot_members(history).select(*keys, "effective_date", "next_date").repartition(*keys)
+    says = F.array(F.struct(F.col("effective_date").alias("date"), F.lit(True).alias("present")), F.struct(F.col("next_date").alias("date"), F.lit(False).alias("present")))
+    told = held.select(*keys, F.inline(says)).where(F.col("date").isNotNull()).groupBy(*keys, "date").agg(F.max("present").alias("present"))
+    spans = versions(told, keys, "date", F.col("present"))
+    return spans.where("value").select(*keys, "valid_from", "valid_to")
 
 
 def issuer_versions(actions: DataFrame) -> DataFrame:
