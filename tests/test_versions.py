@@ -92,12 +92,13 @@ def test_issuer_changes(spark):
 
 def test_ordinals_are_distinct_and_persist(spark):
     keys = spark.createDataFrame([("g", f"k{n}") for n in range(300)] + [("h", "k1"), ("g", None)], "g string, k string")
-    first = assign_ordinals(keys.limit(200), ["g"], "k").cache()
-    second = assign_ordinals(keys, ["g"], "k", first)
+    first = assign_ordinals(keys.limit(200), "g", "k").cache()
+    second = assign_ordinals(keys, "g", "k", first)
     old, new = {(r.g, r.k): r.ordinal for r in first.collect()}, {(r.g, r.k): r.ordinal for r in second.collect()}
     assert all(new[k] == v for k, v in old.items())
     assert len(new) == 302
     assert len({(g, o) for (g, _), o in new.items()}) == 302
+    assert max(new.values()) == 300
 
 
 def test_bitmap_diff_against_sets(spark):
@@ -107,7 +108,9 @@ def test_bitmap_diff_against_sets(spark):
     lists = {(g, n): {f"k{rng.randrange(400)}": rng.choice("ab") for _ in range(250)} for g in "xy" for n in range(1, 6)}
     rows = [(g, n, day(n), day(n + 1) if n < 5 else None, k, p) for (g, n), m in lists.items() for k, p in m.items()]
     members = spark.createDataFrame(rows, "g string, n int, effective_date date, next_date date, k string, p string")
-    got = set(map(tuple, snapshot_changes(members, "g", "k", "p", assign_ordinals(members, ["g"], "k")).collect()))
+    ordinals = assign_ordinals(members, "g", "k").cache()
+    got = set(map(tuple, snapshot_changes(members, "g", "k", "p", ordinals).collect()))
+    assert got == set(map(tuple, snapshot_changes(members, "g", "k", "p", ordinals, 5).collect()))
     want = set()
     for g in "xy":
         for n in range(2, 6):
