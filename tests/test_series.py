@@ -111,7 +111,7 @@ def test_slices_don_t_show(spark):
     x[740:760] = x[740]
     x[1800:] *= 0.5
     many = [r for s in range(30) for r in series(walk(40, 10 + s), ticker=f"S{s}", base=10_000 + 100 * s)]
-    whole, cut = found(spark, series(x) + many, p=Chart(slice_rows=10_000)), found(spark, series(x) + many, p=Chart(slice_rows=250))
+    whole, cut = found(spark, series(x) + many, p=Chart(slice_rows=10_000, least_rows=1_000_000)), found(spark, series(x) + many, p=Chart(slice_rows=250, least_rows=700))
     assert whole == cut
     assert whole["spike"] == {5, 700, 701, 1499, 1500, 2250}  # the first and last have no level on one side
     assert whole["standstill"] == set(range(741, 760))
@@ -125,17 +125,34 @@ def test_slices_of_session_clustered_readings(spark):
     x[1590:1604] = x[1590]
     x[2250:2820] = x[2250]  # a stretch longer than a slice
     rows = [(k, 1, "A", 24 * (k // 80) + 0.05 * (k % 80), float(v)) for k, v in enumerate(x)]
-    whole = found(spark, rows, p=Chart(slice_rows=10_000))
+    whole = found(spark, rows, p=Chart(slice_rows=10_000, least_rows=1_000_000))
     assert len(whole["spike"]) >= 30
     assert whole["standstill"] == {*range(1591, 1604), *range(2251, 2820)}
     for n in (80, 160, 200):
-        assert found(spark, rows, p=Chart(slice_rows=n))["standstill"] == whole["standstill"]
+        assert found(spark, rows, p=Chart(slice_rows=n, least_rows=900, chunk_rows=500))["standstill"] == whole["standstill"]
     day = [(k, 1, "A", 24 * (k // 80) + 0.05 * (k % 80), float(v)) for k, v in enumerate(walk(1600, 13))]
     for first in (79, 80, 160, 239, 800, 1279, 1280):
         day[first] = (*day[first][:4], day[first][4] * 1.5)
-    whole = found(spark, day, p=Chart(slice_rows=10_000))
+    whole = found(spark, day, p=Chart(slice_rows=10_000, least_rows=1_000_000))
     assert whole["spike"] == {79, 80, 160, 239, 800, 1279, 1280}
-    assert found(spark, day, p=Chart(slice_rows=80)) == whole
+    assert found(spark, day, p=Chart(slice_rows=80, least_rows=500, chunk_rows=300, border_rows=60)) == whole
+
+
+def test_bursts_and_sparse_stretches_give_the_same_however_cut(spark):
+    """Dense, sparse, dense with a standstill in the sparse stretch; a burst within an hour; readings all at one time."""
+    rng = np.random.default_rng(21)
+    hours = np.concatenate([np.arange(1500) * 0.5, 800 + 240.0 * np.arange(60), 16_000 + np.arange(1500) * 0.5])
+    x = walk(len(hours), 22)
+    x[1520:1540] = x[1520]
+    burst = np.sort(np.concatenate([rng.uniform(0, 2000, 400), 500 + rng.uniform(0, 1, 3000)]))
+    y, z = walk(len(burst), 23), walk(1500, 24)
+    for v, at in ((x, (300, 1549, 2400)), (y, (50, 1700, 1701, 3300)), (z, (700,))):
+        v[list(at)] *= 1.6
+    rows = [(k, 1, "sparse", h, float(v)) for k, (h, v) in enumerate(zip(hours, x))]
+    rows += [(10_000 + k, 1, "burst", h, float(v)) for k, (h, v) in enumerate(zip(burst, y))] + [(20_000 + k, 1, "once", 7.0, float(v)) for k, v in enumerate(z)]
+    want = {"spike": {300, 1549, 2400, 10_050, 11_700, 11_701, 13_300, 20_700}, "standstill": set(range(1521, 1540))}
+    for n, least, chunk in ((10_000, 10**6, 10**6), (1024, 2500, 150_000), (250, 2000, 700), (50, 2000, 400)):
+        assert found(spark, rows, p=Chart(slice_rows=n, least_rows=least, chunk_rows=chunk)) == want
 
 
 def test_short_constant_and_tied_series(spark):

@@ -4,28 +4,31 @@ Per source a robust exponentially weighted control chart: level and scale follow
 before it updates either, so a spike can't drag the chart along; a run of suspects longer than a few is a lasting
 change, on which the chart starts anew. Run-length counters find standstills, physical limits the impossible.
 
-A series is cut into time slices of about ``slice_rows`` readings, each with a border of so many readings on either side, however
-far off in time, so that no task holds a whole series however hot. Slices are the rows of a grouped Arrow function that runs the
-charts of many slices side by side in numpy. It gives few rows: candidates, and histograms of moves and run lengths from which
-the usual move and the usual standstill of each series are summed up. A candidate is then checked against them. The stretches of equal
-values at the edges of a slice may go on in the next ones; they are joined over all slices by a scan over the edges.
+Readings are put into the order of (series, time) by range partitions of equal numbers of rows, so no task holds a whole series however hot or bursty, and a
+series may go on from one partition to the next. A task reads its partition in chunks and cuts the series in it into slices of ``slice_rows`` readings, each
+with ``border_rows`` more on either side to settle the chart and to show the level beyond; the charts of many slices advance side by side in numpy. It gives few
+rows: candidates, and histograms of moves and run lengths from which the usual move and the usual standstill of each series are summed
+up. A candidate is then checked against them. Where a series goes on in the next partition, the readings on either side of the border are
+brought together and charted once more, and the stretches of equal values at the edges of chunks are joined over all chunks by a scan over the edges.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.notes import suspensions
+from tidegraph.plans.runtime import cut_lineage
 
-SPIKE, STILL, MOVES, RUNS, EDGE, OPEN = 1, 2, 3, 4, 5, 6
-_OUT = "kind int, run_id bigint, ticker string, slice int, reading_id bigint, at bigint, value double, n bigint"
+SPIKE, STILL, MOVES, RUNS, EDGE, OPEN, BORDER = 1, 2, 3, 4, 5, 6, 7
+_OUT = "kind int, run_id bigint, ticker string, slice bigint, reading_id bigint, at bigint, value double, n bigint"
+_CHUNKS = 1 << 24  #: slice = partition * _CHUNKS + chunk
 
 
 @dataclass(frozen=True)
@@ -43,13 +46,11 @@ class Chart:
     still_factor: float = 1.25  #: and is so many times as long as the series' usual ones
     rare: float = 0.005  #: runs longer than the usual one are at most this share of all runs
     rare_least: int = 3  #: or this many
-    slice_rows: int = 1024  #: readings aimed at in a slice
-    border: float = 0.125  #: readings of the border on either side as a share of slice_rows
-
-    @property
-    def border_rows(self) -> int:
-        """Least number of readings in a border: enough for a spike that goes on there and the level beyond it."""
-        return max(math.ceil(self.border * self.slice_rows), 2 * self.beside + self.most)
+    slice_rows: int = 1024  #: readings of a slice
+    border_rows: int = 128  #: and of its border on either side: some weights' memory, and more than a spike and the level beyond it
+    chunk_rows: int = 150_000  #: readings a task charts at once
+    least_rows: int = 65_536  #: readings of a range partition at least, as far as
+    most_rows: int = 1_000_000  #: it has no more than so many
 
 
 def control_charts(x: np.ndarray, starts: np.ndarray, p: Chart = Chart()) -> tuple[np.ndarray, np.ndarray]:
@@ -147,149 +148,219 @@ def run_lengths(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.diff(np.append(at, len(v)))
 
 
-def _slices(columns: list[np.ndarray], own: np.ndarray, fecha: np.ndarray, reading: np.ndarray, price: np.ndarray, starts: np.ndarray, p: Chart) -> pa.RecordBatch:
-    """The rows for whole slices: run_id, ticker and slice number by slice in ``columns``.
-
-    An EDGE row is the first or last stretch of equal values in a slice of a cut series (n is its length, value the price), an OPEN row one of its readings (value is its
-    place from 0 on, n the number of its edge in the slice). They may go on in other slices, so STILL and RUNS leave them out.
+@dataclass
+class _Readings:
+    """Readings in the order of their series and time; ``piece`` numbers the series in them."""
+
+    run: pa.Array
+    ticker: pa.Array
+    fecha: np.ndarray
+    reading: np.ndarray
+    price: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, keys: tuple[str, ...]) -> tuple[_Readings, np.ndarray]:
+        """The rows of ``table``, a repeated reading once, and which rows these are; ``keys`` tell series apart."""
+        code = lambda k: np.asarray(table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1)).astype(np.int64)
+        key = np.stack([code(k) for k in keys])
+        new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        reading = np.asarray(table.column("reading_id").combine_chunks())
+        once = np.flatnonzero(new | np.concatenate([[True], reading[1:] != reading[:-1]]))
+        col = lambda k: table.column(k).combine_chunks().take(pa.array(once))
+        return cls(col("run_id"), col("ticker"), np.asarray(col("fecha")), reading[once], np.asarray(col("price")), (np.cumsum(new) - 1)[once]), once
+
+    def logs(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.clip(np.log(self.price), -800, 800)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First place of each series, and the place after its last."""
+        starts = np.flatnonzero(np.diff(self.piece, prepend=-1))
+        return starts, np.append(starts[1:], len(self.piece))
+
+    def rows(self, found: list[tuple], number: int | np.ndarray) -> pa.RecordBatch:
+        """``_OUT`` rows of (kind, places, values, n, whether it is a reading)."""
+        at = np.concatenate([f[1] for f in found]).astype(np.int64)
+        kind = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found])
+        real = np.concatenate([np.full(len(f[1]), f[4]) for f in found])
+        value, n = np.concatenate([f[2] for f in found]).astype(float), np.concatenate([f[3] for f in found]).astype(np.int64)
+        take = pa.array(at)
+        number = np.broadcast_to(number, len(self.piece))[at].astype(np.int64)
+        columns = [pa.array(kind), self.run.take(take), self.ticker.take(take), pa.array(number), pa.array(np.where(real, self.reading[at], 0)), pa.array(np.where(real, self.fecha[at], 0)), pa.array(value), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "run_id", "ticker", "slice", "reading_id", "at", "value", "n"])
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of spans laid end to end."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _slice_spikes(r: _Readings, x: np.ndarray, lo: int, hi: int, p: Chart) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (places, distances) among the readings from ``lo`` to before ``hi``, charted in slices."""
+    starts, ends = r.bounds()
+    a, b = np.maximum(starts, lo), np.minimum(ends, hi)
+    some = b > a
+    starts, ends, a, b = starts[some], ends[some], a[some], b[some]
+    slices = -(-(b - a) // p.slice_rows)
+    of = np.repeat(np.arange(len(a)), slices)
+    begin = a[of] + p.slice_rows * (np.arange(len(of)) - (np.cumsum(slices) - slices)[of])
+    end = np.minimum(begin + p.slice_rows, b[of])
+    first, size = np.maximum(begin - p.border_rows, starts[of]), np.minimum(end + p.border_rows, ends[of]) - np.maximum(begin - p.border_rows, starts[of])
+    place, lanes = _spans(first, size), np.cumsum(size) - size
+    at, off = spike_candidates(x[place], lanes, p)
+    lane = np.searchsorted(lanes, at, "right") - 1
+    mine = (place[at] >= begin[lane]) & (place[at] < end[lane])
+    return place[at][mine], off[mine]
+
+
+def _chunk(r: _Readings, lo: int, hi: int, number: int, opens: bool, closes: bool, p: Chart) -> pa.RecordBatch:
+    """The rows of ``_OUT`` for the readings from ``lo`` to before ``hi``; those beside them are their border. ``opens`` and ``closes`` tell that the partition begins and ends here.
+
+    An EDGE row is a stretch of equal values at an edge of the chunk, if its series may go on there (n is its length, value the price); an OPEN row is one of its readings (value is its
+    place from 0 on, n the number of its edge in the chunk), so STILL and RUNS leave them out. n of a SPIKE is 1 near the first reading of the partition and 2 near the last, or both added, as it
+    is to be charted again if its series goes on there; BORDER rows are the readings for that, n 0 at the beginning and 1 at the end.
     """
-    run, ticker, number = columns
-    lane = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(price))))
-    keep = np.concatenate([[True], (reading[1:] != reading[:-1]) | (lane[1:] != lane[:-1])])  # a repeated reading is one
-    own, fecha, reading, price, lane = own[keep], fecha[keep], reading[keep], price[keep], lane[keep]
-    starts = np.searchsorted(lane, np.arange(len(starts)))
-    with np.errstate(divide="ignore"):
-        x = np.clip(np.log(price), -800, 800)
-    rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    at, off = spike_candidates(x, starts, p)
-    mine = own[at]
-    rows.append((SPIKE, lane[at][mine], reading[at][mine], fecha[at][mine], off[mine], np.ones(mine.sum(), np.int64)))
-    o = np.flatnonzero(own)
-    first = np.searchsorted(lane[o], np.arange(len(starts)))
-    first = first[np.diff(np.append(first, len(o))) > 0]
-    begin, size = run_lengths(price[o], first)
-    of = lane[o[begin]] if len(o) else np.zeros(0, int)
-    head, tail = np.isin(begin, first), np.append(of[1:] != of[:-1], True)[: len(of)]
-    edge = (head | tail) & (np.asarray(number)[of] >= 0)
-
-    def members(some: np.ndarray, skip: int) -> tuple[np.ndarray, ...]:
-        """Run, place in the run and row of the readings of some runs, without the first ``skip`` of each."""
-        n = size[some] - skip
-        which = np.repeat(np.flatnonzero(some), n)
-        place = skip + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return which, place, o[begin[which] + place]
-
-    which, _, at = members((size >= p.still) & ~edge, 1)
-    rows.append((STILL, lane[at], reading[at], fecha[at], size[which].astype(float), np.ones(len(at), np.int64)))
-    at = o[begin[edge]]
-    rows.append((EDGE, lane[at], reading[at], fecha[at], price[at], size[edge].astype(np.int64)))
-    which, place, at = members(edge, 0)
-    rows.append((OPEN, lane[at], reading[at], fecha[at], place.astype(float), np.where(head[which], 0, 1).astype(np.int64)))
-    moves = np.abs(np.diff(x, prepend=np.nan))
-    moves[starts] = 0
-    moved = own & (moves > 0)
-    step = np.round(np.log2(moves[moved]) * 16).astype(np.int64)
-    rows.append((MOVES, *_histogram(lane[moved], step, lambda s: np.exp2(s / 16))))
-    rows.append((RUNS, *_histogram(of[~edge], size[~edge], lambda s: s.astype(float))))
-    lanes = np.concatenate([r[1] for r in rows])
-    kind = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
-    parts = [np.concatenate([r[k] for r in rows]) for k in (2, 3, 4, 5)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind), *(c.take(pa.array(lanes)) for c in (run, ticker, number)), *map(pa.array, parts)], ["kind", "run_id", "ticker", "slice", "reading_id", "at", "value", "n"]
-    )
+    n, x = len(r.piece), r.logs()
+    last = int(r.piece[-1])
+    at, off = _slice_spikes(r, x, lo, hi, p)
+    near = opens * ((r.piece[at] == r.piece[0]) & (at < p.border_rows)) + 2 * closes * ((r.piece[at] == last) & (at >= n - p.border_rows))
+    found = [(SPIKE, at, off, near, True)]
+    starts, ends = r.bounds()
+    first = np.unique(np.clip(starts[(ends > lo) & (starts < hi)], lo, None)) - lo
+    begin, size = run_lengths(r.price[lo:hi], first)
+    begin = begin + lo
+    head, tail = np.zeros(len(begin), bool), np.zeros(len(begin), bool)
+    if len(begin):
+        head[0] = opens or (lo > 0 and r.piece[lo - 1] == r.piece[lo])
+        tail[-1] = closes or (hi < n and r.piece[hi] == r.piece[hi - 1])
+    edge = head | tail
+    # the number of an edge: 0 for the first of its series in the chunk
+    second = tail & ~head & (head.any() and r.piece[lo] == r.piece[hi - 1])
+    long = (size >= p.still) & ~edge
+    at = _spans(begin[long] + 1, size[long] - 1)
+    found.append((STILL, at, np.repeat(size[long], size[long] - 1), np.ones(len(at)), True))
+    found.append((EDGE, begin[edge], r.price[begin[edge]], size[edge], True))
+    at = _spans(begin[edge], size[edge])
+    found.append((OPEN, at, at - np.repeat(begin[edge], size[edge]), np.repeat(second[edge], size[edge]), True))
+    found.append((RUNS, *_histogram(begin[~edge], r.piece, size[~edge], lambda s: s.astype(float)), False))
+    found.append((MOVES, *_moves(r, x, np.arange(max(lo, 1), hi)), False))
+    if opens:
+        at = np.flatnonzero(r.piece[: 2 * p.border_rows] == r.piece[0])
+        found.append((BORDER, at, r.price[at], np.zeros(len(at)), True))
+    if closes:
+        at = np.flatnonzero(r.piece[-2 * p.border_rows :] == last) + max(0, n - 2 * p.border_rows)
+        found.append((BORDER, at, r.price[at], np.ones(len(at)), True))
+    return r.rows(found, number)
+
+
+def _moves(r: _Readings, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    at = at[(r.piece[at] == r.piece[at - 1]) & (x[at] != x[at - 1])]
+    return _histogram(at, r.piece, np.round(np.log2(np.abs(x[at] - x[at - 1])) * 16).astype(np.int64), lambda s: np.exp2(s / 16))
+
+
+def _histogram(at: np.ndarray, piece: np.ndarray, step: np.ndarray, value) -> tuple[np.ndarray, ...]:
+    """A place in each series, the values of its steps and how often they occur."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    _, where, n = np.unique(np.stack([piece[at], step]), axis=1, return_index=True, return_counts=True)
+    return at[where], value(step[where]), n
+
+
+def _read_partition(p: Chart):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number, done, rows = TaskContext.get().partitionId() * _CHUNKS, 0, 0  # done: rows at the beginning that are border only
 
+        def chunk(closes: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, number, done, rows
+            table = pa.Table.from_batches(held)
+            if not table.num_rows:
+                return
+            r, _ = _Readings.of(table, ("run_id", "ticker"))
+            hi = len(r.piece) if closes else len(r.piece) - p.border_rows
+            if hi > done:
+                yield _chunk(r, done, hi, number, number % _CHUNKS == 0, closes, p)
+                number += 1
+                keep = max(0, hi - p.border_rows)
+                kept = {"run_id": r.run, "ticker": r.ticker, "fecha": r.fecha, "reading_id": r.reading, "price": r.price}
+                held, done = pa.table(kept).slice(keep).to_batches(), hi - keep
+            rows = sum(b.num_rows for b in held)
 
-def _histogram(lane: np.ndarray, step: np.ndarray, value) -> tuple[np.ndarray, ...]:
-    pairs, n = np.unique(np.stack([lane, step]), axis=1, return_counts=True) if len(lane) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    none = np.zeros(len(n), np.int64)
-    return pairs[0], none, none, value(pairs[1]), n.astype(np.int64)
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= p.chunk_rows + 4 * p.border_rows:
+                yield from chunk(False)
+        if held:
+            yield from chunk(True)
 
+    return run
 
-def _chart_batches(p: Chart, rows_at_once: int = 150_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            t = pa.Table.from_batches(held).combine_chunks()
-            if not t.num_rows:
-                held, n = [], 0
-                return
-            c = t.column("slice").combine_chunks()
-            change = [np.zeros(1, bool)]
-            run_id, ticker = (t.column(k).combine_chunks().dictionary_encode() if t.num_rows else None for k in ("run_id", "ticker"))
-            code = lambda d: np.asarray(d.indices.fill_null(-1)).astype(np.int64)
-            key = np.stack([code(run_id), code(ticker), np.asarray(c)])
-            change = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            starts = np.flatnonzero(change)
-            stop = t.num_rows if final else starts[-1]  # the last slice may go on
+def _read_borders(p: Chart):
+    """Charts of the readings on either side of each border, for the ``border_rows`` next to it, and the move over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def chart(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            table = pa.Table.from_batches(held)
+            slices = np.asarray(table.column("slice").combine_chunks())
+            same = np.flatnonzero(np.diff(slices)) + 1
+            stop = table.num_rows if final else (int(same[-1]) if len(same) else 0)  # the last border may go on
             if stop:
-                s = starts[starts < stop]
-                heads = pa.array(s)
-                col = lambda k: np.asarray(t.column(k).combine_chunks().slice(0, stop))
-                yield _slices([t.column(k).combine_chunks().take(heads) for k in ("run_id", "ticker", "slice")], col("own").astype(bool), col("fecha"), col("reading_id"), col("price"), s, p)
-            held = t.slice(stop).to_batches() if stop < t.num_rows else []
-            n = t.num_rows - stop
-
-        due = rows_at_once
+                r, once = _Readings.of(table.slice(0, stop), ("run_id", "ticker", "slice"))
+                right = np.asarray(table.column("right").combine_chunks().cast(pa.int8()))[once].astype(bool)
+                x, (starts, ends) = r.logs(), r.bounds()
+                border = starts + np.bincount(r.piece[~right], minlength=len(starts))
+                at, off = spike_candidates(x, starts, p)
+                mine = np.abs(at - border[r.piece[at]] + 0.5) < p.border_rows
+                moved = border[(border > starts) & (border < ends)]
+                yield r.rows([(SPIKE, at[mine], off[mine], np.zeros(mine.sum()), True), (MOVES, *_moves(r, x, moved), False)], slices[once])
+            held = table.slice(stop).to_batches()
+            rows = table.num_rows - stop
+
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
-            if n >= due:
-                yield from flush(False)
-                due = max(rows_at_once, 2 * n)
-        if held:
-            yield from flush(True)
+            rows += batch.num_rows
+            if rows >= p.chunk_rows:
+                yield from chart(False)
+        if sum(b.num_rows for b in held):
+            yield from chart(True)
 
     return run
 
 
-def _bins(placed: DataFrame, p: Chart) -> DataFrame:
-    """``_run, _ticker, _b, _own, _near``: the slice of each filled time bin of the cut series, and the slices that need its readings.
+def chart_rows(readings: DataFrame, rows: int, p: Chart = Chart()) -> DataFrame:
+    """Candidates, histograms, edges and borders of every chunk (see ``_OUT``); readings have a valid price, fecha in microseconds and no null id; there are at most ``rows``."""
+    width = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-rows // p.most_rows), min(width, -(-rows // p.least_rows)))
+    order = ["run_id", "ticker", "fecha", "reading_id"]
+    placed = readings.select(*order, "price").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return placed.mapInArrow(_read_partition(p), _OUT)
 
-    A slice is the bins that begin within ``slice_rows`` readings; its borders are the bins before and after it that hold the next ``border_rows`` readings.
-    """
-    series = Window.partitionBy("_run", "_ticker")
-    bins = placed.groupBy(F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), F.col("_bin").alias("_b")).agg(F.count("*").alias("n"))
-    bins = bins.withColumn("c1", F.sum("n").over(series.orderBy("_b"))).withColumn("c0", F.col("c1") - F.col("n"))
-    bins = bins.withColumn("_own", F.dense_rank().over(series.orderBy(F.floor(F.col("c0") / p.slice_rows))) - 1)
-    near, by = [F.col("_own")], series.orderBy("_own")
-    for k in range(1, p.border_rows // p.slice_rows + 3):  # no more slices begin within a border
-        begin, end = F.min("c0").over(by.rangeBetween(k, k)), F.max("c1").over(by.rangeBetween(-k, -k))
-        near += [F.when(begin < F.col("c1") + p.border_rows, F.col("_own") + k), F.when(end > F.col("c0") - p.border_rows, F.col("_own") - k)]
-    return bins.select("_run", "_ticker", "_b", "_own", F.array_compact(F.array(*near)).alias("_near"))
-
-
-def sliced(readings: DataFrame, p: Chart, most_broadcast: int = 20_000, most_bins: int = 200_000) -> DataFrame:
-    """Readings with the slices that need them: ``run_id, ticker, slice, fecha, reading_id, price, own``; slice -1 is a whole series.
-
-    Series of more than ``slice_rows`` readings are cut into bins of equal time and these gathered into slices. The table of these series is broadcast if it has at most
-    ``most_broadcast`` rows and that of their bins if it can't have more than ``most_bins``, else joined by key; either way gives the same rows.
-    """
-    bin_rows = max(1, p.slice_rows // 8)
-    sizes = readings.groupBy("run_id", "ticker").agg(F.count("*").alias("n"), F.min("fecha").alias("t0"), F.max("fecha").alias("t1"))
-    large = sizes.where((F.col("n") > p.slice_rows) & (F.col("t1") > F.col("t0"))).select(
-        F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), "t0", F.ceil(F.col("n") / bin_rows).alias("bins"), (F.greatest((F.col("t1") - F.col("t0")) / F.ceil(F.col("n") / bin_rows), F.lit(1.0))).alias("width")
-    )
-    few = large.take(most_broadcast + 1)
-    if len(few) <= most_broadcast:
-        large = F.broadcast(readings.sparkSession.createDataFrame(few, large.schema))
-    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
-    placed = readings.join(large, same, "left").select(*readings.columns, F.floor((F.col("fecha") - F.col("t0")) / F.col("width")).alias("_bin"))
-    bins = _bins(placed.where(F.col("_bin").isNotNull()), p)
-    if len(few) <= most_broadcast and sum(r["bins"] + 1 for r in few) <= most_bins:
-        bins = F.broadcast(bins)
-    joined = placed.join(bins, same & (F.col("_bin") == F.col("_b")), "left")
-    whole = F.lit(-1)
-    rows = joined.select("run_id", "ticker", F.explode(F.coalesce("_near", F.array(whole))).alias("slice"), "fecha", "reading_id", "price", F.coalesce("_own", whole).alias("_own"))
-    return rows.select("run_id", "ticker", "slice", "fecha", "reading_id", "price", (F.col("slice") == F.col("_own")).alias("own"))
-
-
-def chart_rows(readings: DataFrame, p: Chart = Chart()) -> DataFrame:
-    """Candidates, histograms and edges of every slice (see ``_OUT``); readings have a valid price, fecha in microseconds and no null id."""
+
+def _same() -> Column:
+    return F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
+
+
+def settled_borders(found: DataFrame, p: Chart) -> DataFrame:
+    """The SPIKE and MOVES rows of ``found``, with those near the border of a partition over which their series goes on replaced by a chart of both sides."""
+    series = Window.partitionBy("_run", "_ticker").orderBy("_part")
+    part = F.floor(F.col("slice") / _CHUNKS)
+    spread = found.where(F.col("kind") == BORDER).select(F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), part.alias("_part")).distinct()
+    spread = spread.select("*", F.lag("_part").over(series).alias("_before"), F.lead("_part").over(series).alias("_after")).where("_before is not null or _after is not null")
+    beside = found.where(F.col("kind") == BORDER).join(spread, _same() & (part == F.col("_part")))
+    right = F.col("n") == 0
+    sides = beside.select("run_id", "ticker", F.when(right, F.col("_before")).when(F.col("_after").isNotNull(), F.col("_part")).alias("slice"), right.alias("right"), F.col("at").alias("fecha"), "reading_id", F.col("value").alias("price"))
     keys = ["run_id", "ticker", "slice"]
-    placed = sliced(readings, p).repartition(*keys).sortWithinPartitions(*keys, "fecha", "reading_id")
-    return placed.mapInArrow(_chart_batches(p), _OUT)
+    sides = sides.where("slice is not null").repartition(*keys).sortWithinPartitions("slice", "run_id", "ticker", "fecha", "reading_id")
+    anew = sides.mapInArrow(_read_borders(p), _OUT)
+    own = found.where((F.col("kind") == SPIKE) | (F.col("kind") == MOVES)).join(spread, _same() & (part == F.col("_part")) & (F.col("kind") == SPIKE) & (F.col("n") > 0), "left")
+    again = (F.col("kind") == SPIKE) & ((F.col("n").bitwiseAND(1).cast("boolean") & F.col("_before").isNotNull()) | (F.col("n").bitwiseAND(2).cast("boolean") & F.col("_after").isNotNull()))
+    return own.where(~again).select(found.columns).unionByName(anew.select(found.columns))
 
 
 def joined_edges(found: DataFrame) -> DataFrame:
@@ -312,18 +383,19 @@ def suspect_readings(cells: DataFrame, provenance: DataFrame, p: Chart = Chart()
     told = cells.where(F.col("adjclose").isNotNull() & ~F.isnan("adjclose") & F.col("reading_id").isNotNull())
     impossible = told.where("adjclose <= 0").select("reading_id").distinct().withColumn("reason", F.lit("impossible"))
     readings = told.where((F.col("adjclose") > 0) & F.col("fecha").isNotNull()).select("run_id", "ticker", "reading_id", F.expr("unix_micros(cast(fecha as timestamp))").alias("fecha"), F.col("adjclose").alias("price"))
-    found = chart_rows(readings, p).persist()  # few rows, read several times; a lost part is computed anew
+    found = cut_lineage(chart_rows(readings, cells.count(), p))  # few rows, read several times
+    charted = settled_borders(found, p)
     edges = joined_edges(found)
     series = ["run_id", "ticker"]
-    usual_move = found.where(F.col("kind") == MOVES).groupBy(*series).agg((F.percentile("value", 0.5, F.col("n")) / 0.6745).alias("move"))
+    usual_move = charted.where(F.col("kind") == MOVES).groupBy(*series).agg((F.percentile("value", 0.5, F.col("n")) / 0.6745).alias("move"))
     runs = found.where(F.col("kind") == RUNS).select(*series, "value", "n").unionByName(edges.where("begins").select(*series, F.col("total").cast("double").alias("value"), F.lit(1).cast("bigint").alias("n")))
     runs = runs.groupBy(*series, "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*series)
     as_long = runs.withColumn("as_long", F.sum("n").over(w.orderBy(F.desc("value")))).withColumn("all", F.sum("n").over(w))
     usual_run = as_long.where(F.col("as_long") > F.greatest(F.lit(p.rare_least), p.rare * F.col("all"))).groupBy(*series).agg(F.max("value").alias("usual"))
     usual_move, usual_run, halts = (df.withColumnsRenamed({"run_id": "_run", "ticker": "_ticker"}) for df in (usual_move, usual_run, suspensions(provenance)))
-    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("ticker").eqNullSafe(F.col("_ticker"))
-    spikes = found.where(F.col("kind") == SPIKE)
+    same = _same()
+    spikes = charted.where(F.col("kind") == SPIKE)
     spikes = spikes.join(usual_move, same, "left").where(F.col("value") >= p.spike * F.coalesce("move", F.lit(0.0)))
     place = edges.where(F.col("total") >= p.still).select(F.col("run_id").alias("_run"), F.col("ticker").alias("_ticker"), F.col("slice").alias("_slice"), F.col("n").alias("_n"), "total", "begins")
     open_ = found.where(F.col("kind") == OPEN).join(place, same & (F.col("slice") == F.col("_slice")) & (F.col("n") == F.col("_n")))
