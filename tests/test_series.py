@@ -44,6 +44,8 @@ def test_grid_carries_prices_over_shards(spark):
     assert len(grid) == 17
     assert [g.price for g in grid] == [6.0] * 16 + [7.0]
     assert [g.observed for g in grid] == [True, *[False] * 15, True]
+    for shard in (1, 2, 7, 64):
+        assert regular_grid(cells(spark, rows), sessions(spark), shard).orderBy("session_day").collect() == grid
     assert regular_grid(cells(spark, []), sessions(spark)).count() == 0
     assert regular_grid(cells(spark, rows), sessions(spark).limit(0)).count() == 0
 

@@ -1,9 +1,9 @@
 """Irregular readings onto a regular grid (problem 3).
 
 Readings become one price for each series and session (an aggregate that combines on the map side), sessions are cut into
-shards of ``shard`` sessions, each shard of a series keeps its first and last reading, and a scan over these summaries
-hands every shard the state at its border: where the next reading of the series lies. Then each shard fills its own gaps; what it holds is bounded by
-its number of sessions, however many readings a series has.
+shards of ``shard`` sessions, and each shard of a series is summed up by its first and last reading. A scan over these summaries hands every shard, also
+those without a reading, the state at its border: the price carried into it, and whether the series begins or ends in it. Then each shard fills its own sessions; what
+it holds is bounded by its number of sessions, however many readings a series has.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.plans.runtime import small
 from tidegraph.sources.tables import valid_price
 
 
 def session_calendar(sessions: DataFrame) -> DataFrame:
-    """``session_date, ord``: the open sessions numbered from 0. One row a calendar day at most, so one task orders it and it may be broadcast."""
+    """``session_date, ord``: the open sessions numbered from 0. One row a calendar day at most, so one task orders it."""
     days = sessions.where(F.col("session_date").isNotNull()).groupBy("session_date").agg(F.max(F.coalesce("is_open", F.lit(False))).alias("is_open"))
     return days.where("is_open").select("session_date", (F.row_number().over(Window.orderBy("session_date")) - 1).alias("ord"))
 
@@ -23,21 +24,42 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
 def session_prices(readings: DataFrame, calendar: DataFrame) -> DataFrame:
     """``run_id, ticker, ord, price``: the last valid reading of each series and open session (by fecha, then reading_id; equal ones by price)."""
     valid = readings.where(valid_price(F.col("adjclose")) & F.col("fecha").isNotNull())
-    placed = valid.select("run_id", "ticker", "reading_id", "fecha", "adjclose", F.to_date("fecha").alias("session_date")).join(F.broadcast(calendar), "session_date")
+    placed = valid.select("run_id", "ticker", "reading_id", "fecha", "adjclose", F.to_date("fecha").alias("session_date")).join(calendar, "session_date")
     last = F.max(F.struct("fecha", "reading_id", "adjclose"))
     return placed.groupBy("run_id", "ticker", "ord").agg(last.alias("_last")).select("run_id", "ticker", "ord", F.col("_last.adjclose").alias("price"))
 
 
-def gap_spans(prices: DataFrame, shard: int = 64) -> DataFrame:
-    """``run_id, ticker, ord, price, next_ord``: each priced session of a series and the next priced one (null for the last)."""
-    shards = prices.groupBy("run_id", "ticker", F.floor(F.col("ord") / shard).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("ord", "price"))).alias("obs"))
-    ahead = F.lead(F.col("obs")[0]["ord"]).over(Window.partitionBy("run_id", "ticker").orderBy("shard"))
-    carried = shards.withColumn("ahead", ahead)
-    pairs = F.transform(
-        "obs",
-        lambda o, k: F.struct(o["ord"].alias("ord"), o["price"].alias("price"), F.coalesce(F.get(F.col("obs"), k + 1)["ord"], F.col("ahead")).alias("next_ord")),
+def filled_shards(prices: DataFrame, shard: int = 64) -> DataFrame:
+    """``run_id, ticker, ord, price, observed``: every session of a series from its first to its last priced one."""
+    obs = F.array_sort(F.collect_list(F.struct("ord", "price")))
+    shards = prices.groupBy("run_id", "ticker", F.floor(F.col("ord") / shard).alias("shard")).agg(obs.alias("obs"))
+    summed = shards.withColumn("first", F.col("obs")[0]).withColumn("last", F.element_at("obs", -1))
+    w = Window.partitionBy("run_id", "ticker").orderBy("shard")
+    begins, ends = F.lag("shard").over(w).isNull(), F.lead("shard").over(w).isNull()
+    carried = summed.select(
+        "run_id", "ticker", "shard", "obs", "last", F.lag("last.price").over(w).alias("carry"), F.lead("shard").over(w).alias("next_shard"),
+        F.when(begins, F.col("first.ord")).otherwise(F.col("shard") * shard).alias("begin"), F.when(ends, F.col("last.ord")).otherwise((F.col("shard") + 1) * shard - 1).alias("end"),
+    )
+    # the shards without a reading up to the next one with any have the last price before them as their state
+    own = F.struct("begin", "end", "carry", "obs")
+    empty = F.transform(
+        F.when(F.col("next_shard") - F.col("shard") > 1, F.sequence(F.col("shard") + 1, F.col("next_shard") - 1)).otherwise(F.array().cast("array<bigint>")),
+        lambda s: F.struct((s * shard).alias("begin"), ((s + 1) * shard - 1).alias("end"), F.col("last.price").alias("carry"), F.array().cast(prices_type(prices)).alias("obs")),
     )
-    return carried.select("run_id", "ticker", F.inline(pairs))
+    each = carried.select("run_id", "ticker", F.inline(F.concat(F.array(own), empty)))
+    gap = F.array(F.struct(F.col("begin").alias("ord"), F.col("carry").alias("price"), F.lit(False).alias("observed")))
+    seen = F.transform("obs", lambda o: F.struct(o["ord"].alias("ord"), o["price"].alias("price"), F.lit(True).alias("observed")))
+    leads = F.coalesce(F.get(F.col("obs"), F.lit(0))["ord"] > F.col("begin"), F.lit(True))
+    pieces = each.select("run_id", "ticker", "end", F.concat(F.when(leads, gap).otherwise(F.slice(gap, 1, 0)), seen).alias("pieces"))
+    reach = F.transform("pieces", lambda x, k: F.struct(x.alias("x"), F.coalesce(F.get(F.col("pieces"), k + 1)["ord"] - 1, F.col("end")).alias("to")))
+    spans = pieces.select("run_id", "ticker", F.inline(reach))
+    rows = spans.select("run_id", "ticker", "x", F.explode(F.sequence(F.col("x.ord"), F.col("to"))).alias("ord"))
+    return rows.select("run_id", "ticker", "ord", "x.price", (F.col("x.observed") & (F.col("ord") == F.col("x.ord"))).alias("observed"))
+
+
+def prices_type(prices: DataFrame) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in prices.schema.fields}
+    return f"array<struct<ord:{kind['ord']},price:{kind['price']}>>"
 
 
 def regular_grid(readings: DataFrame, sessions: DataFrame, shard: int = 64) -> DataFrame:
@@ -46,11 +68,9 @@ def regular_grid(readings: DataFrame, sessions: DataFrame, shard: int = 64) -> D
     Sessions without a reading carry the price before them and have ``observed`` false. Null and NaN prices, prices not above 0, readings
     on closed days and readings without fecha belong to no session; a series without any valid reading on an open session has no rows.
     """
-    calendar = session_calendar(sessions)
-    spans = gap_spans(session_prices(readings, calendar), shard)
-    reach = F.sequence(F.col("ord"), F.coalesce(F.col("next_ord") - 1, F.col("ord")))
-    rows = spans.select("run_id", "ticker", "price", F.col("ord").alias("_at"), F.explode(reach).alias("ord"))
-    return rows.join(F.broadcast(calendar), "ord").select("run_id", "ticker", F.col("session_date").alias("session_day"), "price", (F.col("ord") == F.col("_at")).alias("observed"))
+    calendar = small(session_calendar(sessions))
+    rows = filled_shards(session_prices(readings, calendar), shard)
+    return rows.join(calendar, "ord").select("run_id", "ticker", F.col("session_date").alias("session_day"), "price", "observed")
 
 
 def missing_sessions(readings: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -69,11 +69,11 @@ def log_returns(panel: DataFrame) -> DataFrame:
 
     ``t`` numbers the dates with a return of any node from 0.
     """
-    timed = panel.join(F.broadcast(calendar(panel)), "date")  # one row a date
+    timed = panel.join(calendar(panel), "date")
     w = Window.partitionBy("node").orderBy("t")
     moved = timed.select("date", "t", "node", (F.ln("price") - F.lag(F.ln("price")).over(w)).alias("r"), (F.col("t") - F.lag("t").over(w)).alias("step")).where("step = 1")
     kept = moved.select("date", "node", "r")
-    return kept.join(F.broadcast(calendar(kept)), "date").select("date", "t", "node", "r")
+    return kept.join(calendar(kept), "date").select("date", "t", "node", "r")
 
 
 def descriptive_stats(returns: DataFrame, least: int = 30) -> DataFrame:
