@@ -1,119 +1,66 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Bagged decision trees over content and link features, trained on weak labels, then smoothed by the spam rate of each page's host.
+Bagged decision trees over content and link features, trained on weak labels, then smoothed by the spam rate of each page's source, which stands for its host, as
+the crawl has no other.
 
 Content features rest on a lexicon: the log odds of each word between pages labelled spam and others, learned by Spark from the labelled pages. A page is
 read in windows of some twenty words; the share of windows whose mean log odds are high tells how much of its *text* is filler, so a ruling that quotes an
 advertisement stays a ruling. The rest are rates of links, tags, numbers, repeated words and pairs, sentence ends and long lines. Every page is
-read whole, inside Arrow batches.
+read whole, inside Arrow batches (``page_features``).
 
-Training is bounded: ``MAX_LABELS`` given labels and ``MAX_SAMPLE`` other pages, both samples by hash, and ``MAX_WORDS`` words. All pages are scored.
+Training is bounded: ``MAX_LABELS`` given labels and about ``MAX_SAMPLE`` other pages, both samples by hash. All pages are scored.
 A page without words is no spam; a page labelled both ways counts once for either label; without labels of both kinds nothing is found.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm.page_features import FEATURES, LEXICAL, PLAIN, Pages, lexical, pieces, plain
 from tidegraph.plans.runtime import cut_lineage
 
 MAX_LABELS = 20_000
 MAX_SAMPLE = 10_000
-MAX_WORDS = 20_000
-WINDOW = 20
-FEATURES = (
-    "filler_windows", "filler_half", "mean_odds", "low_odds", "spam_words", "page_words", "number_words", "distinct_words", "distinct_pairs", "top_word",
-    "links", "link_text", "tags", "sentence_ends", "words_a_line", "words_an_item", "numbered_items", "packed_size", "log_words",
-)
-# What marks a word of a page as a link or an address of a site.
-_LINK_MARKS = (b"://", b"www.", b"href", b".com", b".org", b".net", b".info", b".biz", b".test", b".example", b".invalid")
-#: ASCII punctuation parts words; bytes beyond ASCII stay in them.
-_TO_WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
-_TO_ITEMS = bytes(10 if chr(c) in ";,|\t\r" else c for c in range(256))
-
-
-def lexicon(labelled: DataFrame, least: int = 4) -> dict[str, float]:
-    """Log odds of words between spam and other labelled pages (``text``, ``spam``), for words on at least ``least`` pages, at most ``MAX_WORDS`` of the most frequent."""
+
+
+def lexicon(labelled: DataFrame, least: int = 4, share: float = 0.0005) -> dict[bytes, float]:
+    """Log odds of words between spam and other labelled pages (``text``, ``spam``), for words on at least ``least`` pages and ``share`` of all.
+
+    The labelled pages are a bounded sample, so the words on some share of them are too.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     sums = labelled.groupBy().agg(F.count_if("spam").alias("s"), F.count_if(~F.col("spam")).alias("p")).first()
     counts = labelled.select("spam", F.explode(words).alias("word")).groupBy("word").agg(F.count_if("spam").alias("s"), F.count_if(~F.col("spam")).alias("p"))
-    rows = counts.where(F.col("s") + F.col("p") >= least).orderBy(F.desc(F.col("s") + F.col("p")), "word").limit(MAX_WORDS).collect()
-    return {r["word"]: float(np.clip(np.log((r["s"] + 0.5) / (sums["s"] + 1)) - np.log((r["p"] + 0.5) / (sums["p"] + 1)), -2, 3)) for r in rows}
-
-
-class Odds(dict):
-    """Log odds of words (UTF-8, lower case), 0 for a word not in the lexicon."""
-
-    def __missing__(self, word: bytes) -> float:
-        return 0.0
-
-
-def page_features(text: str | None, odds: Odds) -> list[float]:
-    """The features of one whole page, in the order of ``FEATURES``."""
-    raw = (text or "").lower().encode("utf-8", "replace")
-    words = raw.translate(_TO_WORDS).split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    score = np.fromiter(map(odds.__getitem__, words), float, n)
-    k = max(1, n // WINDOW)
-    cuts = np.arange(k + 1) * n // k
-    window = np.sort(np.add.reduceat(score, cuts[:-1]) / np.diff(cuts))
-    count = Counter(words)
-    marks = [m for m in _LINK_MARKS if m in raw]
-    links = [w for w in raw.split() if any(m in w for m in marks)] if marks else []
-    items = raw.replace(b"\xe2\x80\xa2", b"\n").replace(b" - ", b"\n").replace(b" / ", b"\n").translate(_TO_ITEMS).split(b"\n")
-    return [
-        (k - int(np.searchsorted(window, 0.3, "right"))) / k,
-        (k - int(np.searchsorted(window, 0.7, "right"))) / k,
-        float(score.sum()) / n,
-        float(window[3 * k // 10]),
-        np.count_nonzero(score > 1) / n,
-        np.count_nonzero(score < -1) / n,
-        sum(c for w, c in count.items() if w.isdigit()) / n,
-        math.log1p(len(count)) / math.log1p(n),
-        math.log1p(len(set(zip(words, words[1:], strict=False)))) / math.log1p(n),
-        max(count.values()) / n,
-        len(links) / n,
-        sum(map(len, links)) / len(raw),
-        (raw.count(b"#") + raw.count(b"tag:") + raw.count(b"sku")) / n,
-        (raw.count(b". ") + raw.count(b".\n") + raw.count(b"? ")) / n,
-        min(1.0, n / (1 + raw.count(b"\n")) / 50),
-        min(1.0, n / len(items) / 25),
-        sum(map(_numbered, items)) / len(items),
-        len(zlib.compress(raw, 1)) / len(raw),
-        math.log1p(n),
-    ]
-
-
-def _numbered(item: bytes) -> bool:
-    return item.lstrip()[:1].isdigit()
-
-
-def featured(pages: DataFrame, keep: list[str], odds: dict[str, float]) -> DataFrame:
-    """``keep`` and the features of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(odds)  # at most MAX_WORDS entries
-
-    @F.pandas_udf("array<double>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Odds({word.encode(): odd for word, odd in shared.value.items()})
-        for texts in batches:
-            yield pd.Series([page_features(t, known) for t in texts])
-
-    read = read.asNondeterministic()  # so the optimizer doesn't run it once a feature
-    rows = pages.select(*keep, read("text").alias("_f"))
-    return rows.select(*keep, *(F.col("_f")[k].alias(name) for k, name in enumerate(FEATURES)))
+    rows = counts.where(F.col("s") + F.col("p") >= max(least, share * (sums["s"] + sums["p"]))).collect()
+    return {r["word"].encode(): float(np.clip(np.log((r["s"] + 0.5) / (sums["s"] + 1)) - np.log((r["p"] + 0.5) / (sums["p"] + 1)), -2, 3)) for r in rows}
+
+
+def featured(pages: DataFrame, keep: list[str], odds: dict[bytes, float], which: tuple[str, ...] = FEATURES) -> DataFrame:
+    """``keep`` and the features ``which`` (all, ``LEXICAL`` or ``PLAIN``) of every page that has words."""
+    shared = pages.sparkSession.sparkContext.broadcast(odds)  # words of the bounded sample
+    rows = pages.select(*keep, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, size in pieces(batch.column(len(keep))):
+                part = batch.slice(begin, size)
+                p = Pages(part.column(len(keep)))
+                parts = [*([lexical(p, shared.value)] if which != PLAIN else []), *([plain(p)] if which != LEXICAL else [])]
+                some = pa.array(np.flatnonzero(p.count))
+                columns = [part.column(k).take(some) for k in range(len(keep))]
+                values = np.concatenate(parts, axis=1)[np.asarray(some)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(v)) for v in values.T)], [*keep, *which])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"{kept}, " + ", ".join(f"{c} double" for c in which))
 
 
 def _forest(train: DataFrame, trees: int, depth: int, least: int | None = None):
@@ -145,29 +92,32 @@ def spam_scores(pages: DataFrame, labels: DataFrame, host: str = "source", trees
     told = told.orderBy(F.xxhash64("doc_id", "spam")).limit(MAX_LABELS)
     every = max(1, -(-pages.count() // MAX_SAMPLE))
     texts = pages.select("doc_id", "text").where(F.col("text").isNotNull())
-    known = texts.join(F.broadcast(told), "doc_id", "left").where(F.col("spam").isNotNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).persist()
-    labelled = known.where(F.col("spam").isNotNull())
-    first = featured(known, ["doc_id", "text", "spam"], lexicon(labelled)).where("log_words > 0").persist()
+    # the bounded sample is written once with a number a row, as ids and texts may be repeated; features and labels go by that number
+    known = texts.join(F.broadcast(told), "doc_id", "left").where(F.col("spam").isNotNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
+    known = cut_lineage(known.select(F.monotonically_increasing_id().alias("row"), "spam", "text"))
+    first = cut_lineage(featured(known, ["row", "spam"], lexicon(known.where(F.col("spam").isNotNull()))))
     model = _forest(first.where(F.col("spam").isNotNull()), trees, depth)
     if model is None:
         return None
     # a given label stays unless the trees are all but certain of the other one; other pages get a label if the trees are sure
     score, given = F.col("score"), F.col("spam")
     stays = F.when(given & (score >= 0.1), True).when(~given & (score <= 0.9), False)
-    weak = _chance(model, first).select("doc_id", "text", F.when(given.isNotNull(), stays).when(score >= 0.8, True).when(score <= 0.1, False).alias("spam"))
-    weak = weak.where(F.col("spam").isNotNull()).persist()
-    odds = lexicon(weak)
-    model = _forest(featured(weak, ["spam"], odds).persist(), trees, depth + 2, 2)
+    weak = _chance(model, first).select("row", F.when(given.isNotNull(), stays).when(score >= 0.8, True).when(score <= 0.1, False).alias("spam"), *PLAIN)
+    weak = cut_lineage(weak.where(F.col("spam").isNotNull()))
+    sure = known.select("row", "text").join(weak.select("row", "spam"), "row")
+    odds = lexicon(sure)
+    anew = featured(sure, ["row"], odds, LEXICAL).join(weak, "row")
+    model = _forest(cut_lineage(anew.select("spam", *FEATURES)), trees, depth + 2, 2)
     if model is None:
         return None
-    rows = featured(pages.select("doc_id", F.col(host).alias("host"), "text").where(F.col("text").isNotNull()), ["doc_id", "host"], odds).where("log_words > 0")
+    rows = featured(pages.select("doc_id", F.col(host).alias("host"), "text").where(F.col("text").isNotNull()), ["doc_id", "host"], odds)
     scored = cut_lineage(_chance(model, rows).select("doc_id", "host", "score"))
     rates = scored.groupBy("host").agg(F.avg("score").alias("rate")).withColumnRenamed("host", "_host")
     # the rates are an aggregate by host; Spark broadcasts them only if small, else joins by key
     return scored.join(rates, F.col("host").eqNullSafe(F.col("_host"))).select("doc_id", "host", "score", ((1 - weight) * F.col("score") + weight * F.col("rate")).alias("smoothed"))
 
 
-def valley(scores: DataFrame, low: int = 40, high: int = 75, width: int = 10) -> float:
+def valley(scores: DataFrame, low: int = 25, high: int = 75, width: int = 10) -> float:
     """The threshold: the middle of the emptiest stretch of ``width`` hundredths of the scores between two bounds, of several the one nearest to a half.
 
     Spark counts the scores in hundredths; only these counts come back.
