@@ -70,14 +70,44 @@ def test_path_metrics_on_a_known_tree(spark):
     paths = graph.tree_paths(tree).cache()
     got = {(r.src, r.dst): (r.hops, r.length, r.longest) for r in paths.collect()}
     assert len(got) == 20
+    below = graph.branches(tree)
+    assert {(r.node, r.branch): (r["size"], r.hops, r.length) for r in below.collect()} == {("a", "b"): (4, 3, 8.0), ("b", "c"): (1, 1, 2.0), ("b", "d"): (2, 2, 7.0), ("d", "e"): (1, 1, 4.0)}
     assert got["a", "e"] == (3, 8.0, 4.0)
-    assert {r.node: round(r.betweenness, 6) for r in graph.betweenness(paths).collect()} == {"a": 0, "b": round(5 / 6, 6), "c": 0, "d": 0.5, "e": 0}
-    assert tuple(graph.hubs(graph.degrees(tree), graph.betweenness(paths)).first()) == ("b", 3, False)
-    m = graph.tree_metrics(tree, paths).first()
+    assert {r.node: round(r.betweenness, 6) for r in graph.betweenness(below).collect()} == {"a": 0, "b": round(5 / 6, 6), "c": 0, "d": 0.5, "e": 0}
+    assert tuple(graph.hubs(graph.degrees(tree), graph.betweenness(below)).first()) == ("b", 3, False)
+    m = graph.tree_metrics(tree, below).first()
     assert (m.n_edges, m.sum_w, m.diameter_hops, m.diameter_weighted, m.max_degree) == (4, 10.0, 3, 9.0, 3)
     assert [(r.a, r.b, r["size"]) for r in tree.orderBy("step").collect()] == [(0, 1, 2), (2, 5, 3), (3, 6, 4), (4, 7, 5)]
 
 
+@pytest.mark.parametrize(("n", "share"), [(2, 1), (14, 1), (18, 0.12)])
+def test_metrics_from_branches_equal_those_from_all_paths(spark, n, share):
+    rows = [("g", *e) for e in random_graph(n, n, share)] + [(None, *e) for e in random_graph(9, 50)]
+    tree = graph.spanning_trees(spark.createDataFrame(rows, "g string, " + EDGES), ("g",)).cache()
+    paths = graph.tree_paths(tree, ("g",)).cache()
+    below = graph.branches(tree, ("g",))
+    far = paths.groupBy("g").agg(F.avg("hops").alias("h"), F.avg("length").alias("l"), F.max("hops").alias("dh"), F.max("length").alias("dl"))
+    want = {r.g: (r.h, r.l, r.dh, r.dl) for r in far.collect()}
+    got = {r.g: (r.apl_hops, r.apl_weighted, r.diameter_hops, r.diameter_weighted) for r in graph.tree_metrics(tree.where("g is not null"), below, ("g",)).collect()}
+    assert set(got) == {"g"}
+    assert got["g"] == pytest.approx(want["g"])
+    ways = {(r.src, r.dst): r.hops for r in paths.where("g is not null").collect()}
+    nodes = sorted({s for s, _ in ways})
+    for r in graph.betweenness(below, ("g",)).where("g is not null").collect():
+        mine = {d for s, d in ways if s == r.node}
+        pairs = [(a, b) for a in mine for b in mine if a < b]
+        crossed = sum(ways[a, r.node] + ways[r.node, b] == ways[a, b] for a, b in pairs)
+        assert r.betweenness == pytest.approx(crossed / len(pairs) if pairs else 0.0)
+    assert len(nodes) == graph.betweenness(below, ("g",)).where("g is not null").count()
+
+
+def test_large_graphs_give_the_rows_of_small_ones(spark, monkeypatch):
+    df = edges(spark, random_graph(20, 31, 0.1) + [("zx", "zy", 0.5)]).cache()
+    folds = [sorted(map(tuple, f(df).collect())) for f in (graph.spanning_trees, graph.components)]
+    monkeypatch.setattr(graph, "FOLD_EDGES", 5)
+    assert [sorted(map(tuple, f(df).collect())) for f in (graph.spanning_trees, graph.components)] == folds
+
+
 def test_ultrametric_is_below_distance(spark):
     df = edges(spark, random_graph(12, 7)).cache()
     u = graph.ultrametric(graph.spanning_trees(df))

@@ -1,8 +1,9 @@
 """Graphs of distances: components, minimum spanning trees, hierarchies, tree metrics.
 
-Edges are ``by, i, j, w`` with i < j. All choices follow the total order (w, i, j). ``spanning_trees`` folds the sorted edges of each group in one pass inside
-the JVM and suits many graphs of bounded size (windows, replicas); ``boruvka`` joins by component in O(log N) rounds and holds no
-graph in one task.
+Edges are ``by, i, j, w`` with i < j. All choices follow the total order (w, i, j). Sorted edges of a group are folded in one pass inside
+the JVM, which suits many graphs of bounded size (windows, replicas) and one graph of at most ``FOLD_EDGES`` edges, which are counted; a larger one is
+treated by ``boruvka``, which joins by component in O(log N) rounds and holds no graph in one task. Both give the same rows.
+Metrics of trees come from the sizes and depths of branches below a root, so nothing is kept for each pair of nodes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.plans.runtime import cut_lineage
 
+FOLD_EDGES = 200_000
+
 
 def finite(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("w").isNotNull() & ~F.isnan("w"))
@@ -54,19 +57,35 @@ def _folded(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return indexed.select(*by, "nodes", F.expr(fold).alias("f")).select(*by, "nodes", "f.tree", "f.labels")
 
 
+def _too_many(edges: DataFrame) -> bool:
+    return len(edges.select(F.lit(1)).head(FOLD_EDGES + 1)) > FOLD_EDGES
+
+
 def spanning_trees(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``by, step, i, j, w, a, b, size, n_nodes``: tree edges in ascending order, with the merge of clusters that each makes.
 
-    A graph that isn't connected gives a forest of fewer than ``n_nodes - 1`` edges.
+    A graph that isn't connected gives a forest of fewer than ``n_nodes - 1`` edges. Of a single large graph only the edges of its tree are folded.
     """
+    if not by:
+        edges = cut_lineage(edges.select("i", "j", "w"))
+        if _too_many(edges):
+            edges = boruvka(edges)
     return _folded(edges, by).select(*by, F.size("nodes").alias("n_nodes"), F.posexplode("tree")).select(*by, (F.col("pos") + 1).alias("step"), "col.*", "n_nodes")
 
 
 def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``by, node, component, size``: a component is named by its smallest node."""
-    rows = _folded(edges, by).select(*by, F.explode(F.arrays_zip("nodes", "labels")).alias("z")).select(*by, F.col("z.nodes").alias("node"), F.col("z.labels").alias("label"))
-    w = Window.partitionBy(*by, "label")
-    return rows.select(*by, "node", F.min("node").over(w).alias("component"), F.count("*").over(w).alias("size"))
+    if not by:
+        edges = cut_lineage(finite(edges).select("i", "j", "w"))
+    if not by and _too_many(edges):
+        rows = _contracted(edges)[1].withColumnRenamed("c", "label")
+    else:
+        rows = _folded(edges, by).select(*by, F.explode(F.arrays_zip("nodes", "labels")).alias("z")).select(*by, F.col("z.nodes").alias("node"), F.col("z.labels").alias("label"))
+    named = rows.groupBy(*by, "label").agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    same = F.col("label") == F.col("_label")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(named.withColumnsRenamed({"label": "_label", **{c: f"_{c}" for c in by}}), same).select(*by, "node", "component", "size")
 
 
 def largest_component(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -76,36 +95,38 @@ def largest_component(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumn("best", best).where("component = best").select(*by, "node")
 
 
-def boruvka(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``i, j, w`` of the minimum spanning forest of one graph of any size.
+def boruvka(edges: DataFrame) -> DataFrame:
+    """``i, j, w`` of the minimum spanning forest of one graph of any size."""
+    return _contracted(edges)[0]
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forest ``i, j, w`` and the component ``c`` (one of its nodes) of each ``node``.
 
     In each round every component takes its least outgoing edge and components joined so are merged by pointer jumping; each step is a keyed aggregate or a join,
-    and lineage is cut by a reliable checkpoint. Rounds at least halve the components that can still grow.
+    and lineage is cut by a reliable checkpoint. Rounds at least halve the components that can still grow, so they end.
     """
     live = cut_lineage(finite(edges).select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj")))
-    tree = None
-    for _ in range(most_rounds):
-        if live.isEmpty():
-            break
+    labels = live.select(F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("c", F.col("node"))
+    tree = live.select("i", "j", "w").limit(0)
+    while not live.isEmpty():
         sides = F.array(F.struct(F.col("ci").alias("c"), F.col("cj").alias("d")), F.struct(F.col("cj").alias("c"), F.col("ci").alias("d")))
         least = live.select("i", "j", "w", F.inline(sides)).groupBy("c").agg(F.min(F.struct("w", "i", "j", "d")).alias("e"))
         chosen = cut_lineage(least.select("c", "e.*"))
-        part = chosen.select("i", "j", "w").distinct()
-        tree = part if tree is None else tree.unionByName(part)
+        tree = tree.unionByName(chosen.select("i", "j", "w").distinct())
         # following the chosen edge, the two ends of the least edge of a component point at each other: the smaller one is the root
         back = chosen.select(F.col("c").alias("d"), F.col("d").alias("up2"))
         parent = chosen.select("c", "d").join(back, "d", "left").select("c", F.when((F.col("up2") == F.col("c")) & (F.col("c") < F.col("d")), F.col("c")).otherwise(F.col("d")).alias("up"))
-        parent = cut_lineage(parent)
-        while True:
+        moved = True
+        while moved:
             jumped = parent.join(parent.select(F.col("c").alias("up"), F.col("up").alias("top")), "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
             jumped = cut_lineage(jumped)
-            moved = jumped.where("moved").limit(1).count()
+            moved = not jumped.where("moved").isEmpty()
             parent = jumped.select("c", "up")
-            if not moved:
-                break
+        labels = cut_lineage(labels.join(parent, "c", "left").select("node", F.coalesce("up", "c").alias("c")))
         ci, cj = parent.select(F.col("c").alias("ci"), F.col("up").alias("ni")), parent.select(F.col("c").alias("cj"), F.col("up").alias("nj"))
         live = cut_lineage(live.join(ci, "ci").join(cj, "cj").where("ni != nj").select("i", "j", "w", F.col("ni").alias("ci"), F.col("nj").alias("cj")))
-    return tree if tree is not None else live.select("i", "j", "w")
+    return tree, labels
 
 
 def tree_paths(tree: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -144,18 +165,44 @@ def degrees(tree: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return both_ways(tree, by).groupBy(*by, "node").agg(F.count("*").alias("degree"))
 
 
-def betweenness(paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by, node, betweenness``: the share of pairs of other nodes whose path crosses a node, from all paths of a tree.
+def branches(tree: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, root, node, branch, w, size, hops, length, n_nodes``: the branches below each node of a tree hung up at its smallest node.
+
+    ``branch`` is the child at the other end of an edge of weight ``w``, ``size`` the number of nodes behind it, ``hops`` and ``length`` the way to the farthest of them; ``n_nodes`` is that of
+    the tree. Every edge is one branch. Trees are walked down from their roots, one edge a step, and each node tells its ancestors.
+    """
+    steps = cut_lineage(both_ways(tree, by).withColumnsRenamed({"node": "u", "other": "v"}))
+    steps.createOrReplaceTempView("_branch_steps")
+    roots = components(tree, by).where("node = component").select(*by, F.col("node").alias("root"), F.col("size").alias("n_nodes"))
+    roots.createOrReplaceTempView("_branch_roots")
+    keys, carried, same = "".join(f"{c}, " for c in by), "".join(f"p.{c}, " for c in by), "".join(f"p.{c} <=> s.{c} AND " for c in by)
+    at = "named_struct('node', {node}, 'w', {w}, 'hops', {hops}, 'length', {length})"
+    walked = tree.sparkSession.sql(f"""WITH RECURSIVE p AS (
+      SELECT {keys}root, n_nodes, root AS node, cast(NULL AS string) AS up, 0 AS hops, cast(0 AS double) AS length,
+        array({at.format(node="root", w="cast(0 AS double)", hops="0", length="cast(0 AS double)")}) AS path FROM _branch_roots
+      UNION ALL
+      SELECT {carried}p.root, p.n_nodes, s.v, p.node, p.hops + 1, p.length + s.w,
+        concat(p.path, array({at.format(node="s.v", w="s.w", hops="p.hops + 1", length="p.length + s.w")})) FROM p JOIN _branch_steps s ON {same}p.node = s.u AND NOT (s.v <=> p.up))
+      SELECT {keys}root, n_nodes, hops, length, path FROM p""")
+    above = walked.select(*by, "root", "n_nodes", "hops", "length", F.inline(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, c: F.struct(a.alias("a"), c.alias("c"))))).where("a is not null")
+    rows = above.groupBy(*by, "root", F.col("a.node").alias("node"), F.col("c.node").alias("branch")).agg(
+        F.first("c.w").alias("w"), F.count("*").alias("size"), F.max(F.col("hops") - F.col("a.hops")).alias("hops"), F.max(F.col("length") - F.col("a.length")).alias("length"), F.first("n_nodes").alias("n_nodes")
+    )
+    return cut_lineage(rows)
+
+
+def betweenness(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, node, betweenness``: the share of pairs of other nodes whose path crosses a node, from the ``branches`` of a tree.
 
-    A path src-dst crosses a node if the paths src-node and node-dst have its hops in sum; on a tree the branches at a node tell this by their sizes:
-    of the (N-1)(N-2)/2 pairs those within one branch don't cross.
+    Of the (N-1)(N-2)/2 pairs those within one branch at the node, or within what lies above it, don't cross.
     """
-    # the branch of dst at src is the neighbour of src on the path; its size is the number of nodes behind it
-    first = paths.where("hops = 1").select(*by, F.col("src").alias("node"), F.col("dst").alias("branch"))
-    here, there = paths.select(*by, F.col("src").alias("node"), "dst", F.col("hops").alias("h")), paths.select(*by, F.col("src").alias("branch"), "dst", F.col("hops").alias("hb"))
-    behind = first.join(here, [*by, "node"]).join(there, [*by, "branch", "dst"], "left").where("dst = branch or hb = h - 1").groupBy(*by, "node", "branch").agg(F.count("*").alias("size"))
-    sums = behind.groupBy(*by, "node").agg(F.sum("size").alias("others"), F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("within"))
-    pairs = F.col("others") * (F.col("others") - 1) / 2
+    within = F.col("size") * (F.col("size") - 1) / 2
+    below = rows.select(*by, "node", "n_nodes", "size", within.alias("within"))
+    # at its far end an edge has the rest of the tree as a branch
+    rest = F.col("n_nodes") - F.col("size")
+    above = rows.select(*by, F.col("branch").alias("node"), "n_nodes", rest.alias("size"), (rest * (rest - 1) / 2).alias("within"))
+    sums = below.unionByName(above).groupBy(*by, "node").agg(F.first("n_nodes").alias("n"), F.sum("within").alias("within"))
+    pairs = (F.col("n") - 1) * (F.col("n") - 2) / 2
     return sums.select(*by, "node", F.coalesce(F.try_divide(pairs - F.col("within"), pairs), F.lit(0.0)).alias("betweenness"))
 
 
@@ -168,11 +215,18 @@ def hubs(degree: DataFrame, between: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return ranked.withColumn("tied", tied).where("k = 1").select(*by, F.col("node").alias("hub"), F.col("degree").alias("hub_degree"), "tied")
 
 
-def tree_metrics(tree: DataFrame, paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row a tree: edges, sum and mean weight, mean and largest path by hops and length, assortativity, degree entropy, largest degree."""
+def tree_metrics(tree: DataFrame, below: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a tree, from its edges and ``branches``: edges, sum and mean weight, mean and largest path by hops and length, assortativity, degree entropy, largest degree."""
     key = [F.col(c) for c in by]
     weight = tree.groupBy(*key).agg(F.count("*").alias("n_edges"), F.sum("w").alias("sum_w"), F.avg("w").alias("ntl"))
-    far = paths.groupBy(*key).agg(F.avg("hops").alias("apl_hops"), F.avg("length").alias("apl_weighted"), F.max("hops").alias("diameter_hops"), F.max("length").alias("diameter_weighted"))
+    # an edge with s nodes behind it lies on s (N - s) paths; the longest path turns at some node from its deepest branch to the next one
+    crossed = F.col("size") * (F.col("n_nodes") - F.col("size"))
+    sums = below.groupBy(*by, "root").agg(F.first("n_nodes").alias("n"), F.sum(crossed).alias("h"), F.sum(crossed * F.col("w")).alias("l"))
+    mean = sums.groupBy(*key).agg((F.sum("h") / F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias("apl_hops"), (F.sum("l") / F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias("apl_weighted"))
+    deepest = lambda c: F.slice(F.sort_array(F.collect_list(c), False), 1, 2)
+    turns = below.groupBy(*by, "node").agg(deepest("hops").alias("h"), deepest("length").alias("l"))
+    both = lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda s, x: s + x)
+    widest = turns.groupBy(*key).agg(F.max(both("h")).cast("int").alias("diameter_hops"), F.max(both("l")).alias("diameter_weighted"))
     deg = degrees(tree, by)
     x, y = deg.select(*by, "node", F.col("degree").alias("x")), deg.select(*by, F.col("node").alias("other"), F.col("degree").alias("y"))
     ends = both_ways(tree, by).join(x, [*by, "node"]).join(y, [*by, "other"])
@@ -182,7 +236,7 @@ def tree_metrics(tree: DataFrame, paths: DataFrame, by: tuple[str, ...] = ()) ->
     p = F.col("k") / F.sum("k").over(Window.partitionBy(*by))
     entropy = shares.withColumn("p", p).groupBy(*key).agg(F.sum(-F.col("p") * F.log2("p")).alias("degree_entropy"), F.max("degree").alias("max_degree"))
     out = weight
-    for part in (far, mix, entropy):
+    for part in (mean, widest, mix, entropy):
         out = out.join(part, list(by)) if by else out.join(F.broadcast(part))  # one row
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.distance import symbolic
-from tidegraph.operators.graph import betweenness, both_ways, degrees, edge_jaccard, finite, hubs, spanning_trees, tree_paths
+from tidegraph.operators.graph import betweenness, both_ways, branches, degrees, edge_jaccard, finite, hubs, spanning_trees
 from tidegraph.operators.symbols import symbolize, thresholds
 from tidegraph.plans.runtime import cut_lineage
 
@@ -53,7 +53,7 @@ def leave_one_out(edges: DataFrame, top: int = 5) -> DataFrame:
     without = lambda df: df.join(out, (F.col("i") != F.col("excluded")) & (F.col("j") != F.col("excluded")))
     fresh = cut_lineage(spanning_trees(without(finite(edges)).select("excluded", "i", "j", "w"), ("excluded",)))
     key = ("excluded",)
-    hub = hubs(degrees(fresh, key), betweenness(tree_paths(fresh, key), key), key).select("excluded", F.col("hub").alias("new_hub"), F.col("hub_degree").alias("new_hub_degree"))
+    hub = hubs(degrees(fresh, key), betweenness(branches(fresh, key), key), key).select("excluded", F.col("hub").alias("new_hub"), F.col("hub_degree").alias("new_hub_degree"))
     mean = fresh.groupBy("excluded").agg(F.avg("w").alias("new_ntl"), F.count("*").alias("n_edges"))
     met = edge_jaccard(without(tree.select("i", "j")).select("excluded", "i", "j"), fresh.select("excluded", "i", "j"), ("excluded",))
     return best.join(hub, "excluded").join(mean, "excluded").join(met.select("excluded", "jaccard"), "excluded")

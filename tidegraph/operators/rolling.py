@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.distance import from_correlation, pair_panel, spearman, symbolic
-from tidegraph.operators.graph import betweenness, degrees, finite, hubs, spanning_trees, tree_metrics, tree_paths
+from tidegraph.operators.graph import betweenness, branches, degrees, finite, hubs, spanning_trees, tree_metrics
 from tidegraph.operators.symbols import symbolize, thresholds
 from tidegraph.plans.runtime import cut_lineage
 
@@ -99,12 +99,12 @@ def valid_trees(edges: DataFrame, ends: DataFrame, universe: int, min_peers: int
 
 def rolling_topology(trees: DataFrame) -> DataFrame:
     """Tree metrics of every valid window."""
-    return tree_metrics(trees, tree_paths(trees, ("t_end",)), ("t_end",))
+    return tree_metrics(trees, branches(trees, ("t_end",)), ("t_end",))
 
 
 def hub_stability(trees: DataFrame) -> DataFrame:
     """``t_end, hub, hub_degree, tied, is_dominant``: the hub of every valid window; the dominant one is the most frequent, ties by name."""
-    found = hubs(degrees(trees, ("t_end",)), betweenness(tree_paths(trees, ("t_end",)), ("t_end",)), ("t_end",))
+    found = hubs(degrees(trees, ("t_end",)), betweenness(branches(trees, ("t_end",)), ("t_end",)), ("t_end",))
     counts = found.groupBy("hub").agg(F.count("*").alias("k"))
     best = counts.agg(F.min_by("hub", F.struct(-F.col("k"), F.col("hub"))).alias("best"))
     return found.join(F.broadcast(best)).select("t_end", "hub", "hub_degree", "tied", (F.col("hub") == F.col("best")).alias("is_dominant"))  # one row

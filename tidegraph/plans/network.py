@@ -270,7 +270,7 @@ def _add_method(method: str) -> None:
 
     def metrics_query(spark, sf_dir):
         tree = cut_lineage(graph.spanning_trees(backbone(distances(brand_returns(spark, sf_dir), method))))
-        return _r(graph.tree_metrics(tree, graph.tree_paths(tree)), "sum_w", "ntl", "apl_hops", "apl_weighted", "diameter_weighted", "assortativity", "degree_entropy")
+        return _r(graph.tree_metrics(tree, graph.branches(tree)), "sum_w", "ntl", "apl_hops", "apl_weighted", "diameter_weighted", "assortativity", "degree_entropy")
 
     def linkage_query(spark, sf_dir):
         return _r(graph.spanning_trees(backbone(distances(brand_returns(spark, sf_dir), method))), "w").select("step", "a", "b", F.col("w").alias("height"), "size")
@@ -281,7 +281,7 @@ def _add_method(method: str) -> None:
 
     def hub_query(spark, sf_dir):
         tree = cut_lineage(graph.spanning_trees(backbone(distances(brand_returns(spark, sf_dir), method))))
-        return graph.hubs(graph.degrees(tree), graph.betweenness(graph.tree_paths(tree)))
+        return graph.hubs(graph.degrees(tree), graph.betweenness(graph.branches(tree)))
 
     parts = _with(*_parts(method))
     tree = f", {_tree()}"
@@ -333,7 +333,7 @@ def degree_table(spark, sf_dir):
 
 @query(_MT + f", {_paths()}, {_between()} SELECT node, round(betweenness, 6) AS betweenness FROM btw")
 def betweenness_table(spark, sf_dir):
-    return _r(graph.betweenness(graph.tree_paths(_tree_of(spark, sf_dir))), "betweenness")
+    return _r(graph.betweenness(graph.branches(_tree_of(spark, sf_dir))), "betweenness")
 
 
 @query(_MT + f", {_paths()} SELECT src AS i, dst AS j, round(longest, 6) AS u FROM paths WHERE src < dst")
