@@ -92,29 +92,47 @@ def plain(p: Pages) -> np.ndarray:
     log_n = np.maximum(np.log1p(n), 1e-9)
     digit = np.asarray(pc.utf8_is_digit(p.words)) if len(p.words) else np.zeros(0, bool)
     unique = max(1, len(p.words))
-    once, times = np.unique(p.page * unique + p.code, return_counts=True)
+    once, times = _distinct(p.page * unique + p.code)
     of = once // unique
+    distinct = np.bincount(of, minlength=p.n)
     top = np.zeros(p.n)
-    np.maximum.at(top, of, times)
+    top[distinct > 0] = np.maximum.reduceat(times, (np.cumsum(distinct) - distinct)[distinct > 0]) if len(times) else 0
     same = p.page[1:] == p.page[:-1]
-    pairs = np.unique(((p.page[1:] * unique + p.code[1:]) * unique + p.code[:-1])[same]) // unique // unique
+    pairs = _distinct(((p.page[1:] * unique + p.code[1:]) * unique + p.code[:-1])[same])[0] // unique // unique
     tokens_page, token, tokens = _coded(p.raw)
     link = np.asarray(pc.match_substring_regex(tokens, _LINK)) if len(tokens) else np.zeros(0, bool)
     size = np.asarray(pc.binary_length(tokens)) if len(tokens) else np.zeros(0)
     on_link = link[token] if len(token) else np.zeros(0, bool)
     links = np.bincount(tokens_page[on_link], minlength=p.n)
     link_text = np.bincount(tokens_page[on_link], weights=size[token[on_link]], minlength=p.n)
-    count = lambda *marks: sum(np.asarray(pc.count_substring(p.raw, m)) for m in marks)
+    count = lambda *marks: sum(_marks(p, *m) for m in marks)
     items, numbered = _items(p)
     out = np.stack([
-        p.sums(digit[p.code] if len(p.code) else np.zeros(0)) / n, np.log1p(np.bincount(of, minlength=p.n)) / log_n, np.log1p(np.bincount(pairs, minlength=p.n)) / log_n, top / n,
-        links / n, link_text / np.maximum(np.diff(p.off), 1), count("#", "tag:", "sku") / n, count(". ", ".\n", "? ") / n,
-        np.minimum(1, n / (1 + count("\n")) / 50), np.minimum(1, n / items / 25), numbered / items, np.log1p(n),
+        p.sums(digit[p.code] if len(p.code) else np.zeros(0)) / n, np.log1p(distinct) / log_n, np.log1p(np.bincount(pairs, minlength=p.n)) / log_n, top / n,
+        links / n, link_text / np.maximum(np.diff(p.off), 1), count((b"#", 0), (b"tag:", 3), (b"sku", 1)) / n, count((b". ", 0), (b".\n", 0), (b"? ", 0)) / n,
+        np.minimum(1, n / (1 + count((b"\n", 0))) / 50), np.minimum(1, n / items / 25), numbered / items, np.log1p(n),
     ], axis=1)
     out[p.count == 0] = 0
     return out
 
 
+def _marks(p: Pages, mark: bytes, rare: int) -> np.ndarray:
+    """How often ``mark``, whose byte ``rare`` is seldom, stands in each page."""
+    at = np.flatnonzero(p.data == mark[rare]) - rare
+    at = at[(at >= 0) & (at + len(mark) <= len(p.data))]
+    for k, byte in enumerate(mark):
+        at = at[p.data[at + k] == byte]
+    page = np.searchsorted(p.off, at, "right") - 1
+    return np.bincount(page[at + len(mark) <= p.off[page + 1]], minlength=p.n)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _items(p: Pages) -> tuple[np.ndarray, np.ndarray]:
     """How many items (parted by line ends, ``; , |``, bullets and dashes or slashes between blanks) a page has, and how many begin with a digit."""
     d, page = p.data, np.repeat(np.arange(p.n), np.diff(p.off))

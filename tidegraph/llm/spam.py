@@ -104,7 +104,7 @@ def spam_scores(pages: DataFrame, labels: DataFrame, host: str = "source", trees
     stays = F.when(given & (score >= 0.1), True).when(~given & (score <= 0.9), False)
     weak = _chance(model, first).select("row", F.when(given.isNotNull(), stays).when(score >= 0.8, True).when(score <= 0.1, False).alias("spam"), *PLAIN)
     weak = cut_lineage(weak.where(F.col("spam").isNotNull()))
-    sure = known.select("row", "text").join(weak.select("row", "spam"), "row")
+    sure = known.select("row", "text").join(F.broadcast(weak.select("row", "spam")), "row")  # of the bounded sample
     odds = lexicon(sure)
     anew = featured(sure, ["row"], odds, LEXICAL).join(weak, "row")
     model = _forest(cut_lineage(anew.select("spam", *FEATURES)), trees, depth + 2, 2)
