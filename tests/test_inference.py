@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidegraph.operators import membership, regression, timeseries
+from tidegraph.operators import membership, regression, resample, timeseries
 from tidegraph.sources import tables
 
 
@@ -111,31 +111,33 @@ def test_sources(spark, tmp_path):
     assert (tmp_path / "m.json").read_text().startswith("{")
 
 
-def test_registered_queries_take_the_full_number_of_replicas(monkeypatch):
-    from types import SimpleNamespace
+def test_registered_queries_take_the_full_number_of_replicas():
+    import inspect
 
+    from tidegraph.plans import inference
+    from tidegraph.plans.config import Config
+
+    assert inspect.signature(inference._spanning).parameters["n"].default == Config().replicas == 1000
+    assert (Config().random_trees, Config().band_replicas) == (10_000, 2000)
+    for query, number in (
+        (inference._support, "net.C.replicas"), (inference.mrqap_dsp, "net.C.replicas"), (inference.mrqap_freedman_lane, "net.C.replicas"), (inference.symbolic_residuals, "net.C.replicas"),
+        (inference.symbolic_non_redundancy, "net.C.replicas"), (inference.degree_distribution_test, "net.C.random_trees"), (inference.ntl_band, "net.C.band_replicas"), (inference._bands, "net.C.band_replicas"),
+    ):
+        assert number in inspect.getsource(query)
+
+
+def test_replicas_without_a_whole_tree_are_drawn_again(spark, monkeypatch):
     from tidegraph.plans import inference
     from tidegraph.plans import network as net
 
-    seen = []
-    draws = lambda place: lambda *a, **k: seen.append(a[place])
-    nothing = lambda *a, **k: None
-    for module, names in ((net, ("brand_returns", "_universe", "_r")), (inference, ("_observed", "_variables", "cut_lineage")), (inference.graph, ("spanning_trees", "drop_isolated")), (inference.distance, ("mantegna",)),
-                          (inference.resample, ("ranked_weights", "edge_support", "expected_jaccard"))):
-        for name in names:
-            monkeypatch.setattr(module, name, nothing)
-    monkeypatch.setattr(inference.resample, "null_panel", draws(1))
-    monkeypatch.setattr(inference.resample, "bootstrap_panel", draws(1))
-    monkeypatch.setattr(inference.resample, "degree_test", draws(2))
-    for name, place in (("mrqap_dsp", 3), ("mrqap_freedman_lane", 3), ("residual_analysis", 4)):
-        monkeypatch.setattr(inference.regression, name, draws(place))
-    for query in ("jaccard_expected", "edge_bootstrap_support", "degree_distribution_test", "mrqap_dsp", "mrqap_freedman_lane", "symbolic_residuals"):
-        getattr(inference, query)(None, None)
-    assert seen == [1000, 1000, 1000, 10_000, 1000, 1000, 1000]
-    series = SimpleNamespace(where=nothing, select=nothing)
-    monkeypatch.setattr(inference, "_ntl", lambda *a: series)
-    monkeypatch.setattr(inference.F, "col", lambda c: SimpleNamespace(isNotNull=nothing))
-    monkeypatch.setattr(inference.timeseries, "stationarity", lambda *a: SimpleNamespace(first=lambda: {"n_obs": 200, "conclusion": "unit_root_I1"}))
-    monkeypatch.setattr(inference.timeseries, "bootstrap_band", draws(2))
-    inference.ntl_band(None, None)
-    assert seen[-1] == 2000
+    monkeypatch.setattr(net, "C", net.Config(min_common=5, min_peers=1, attempts=3))
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(t, n, float(v)) for n in "abcd" for t, v in enumerate(rng.normal(size=30))], "t int, node string, r double")
+    # every other replica lacks a node
+    draw = lambda n, first: resample.null_panel(df, n, "permutation", first=first).where("node != 'd' or rep % 2 = 0")
+    trees = inference._spanning(df, draw, "mantegna", 8)
+    assert trees.select("rep").distinct().count() >= 8 * 0.6
+    assert all(r.rep % 2 == 0 for r in trees.select("rep").distinct().collect())
+    assert {r["count"] for r in trees.groupBy("rep").count().collect()} == {3}
+    with pytest.raises(ValueError, match="replicas"):
+        inference._spanning(df, lambda n, first: draw(n, first).where("rep = 2"), "mantegna", 8)

@@ -346,3 +346,22 @@ def test_rolling_runs_have_every_method_and_window(spark):
     alone = rolling.rolling_ntl(rolling.rolling_spearman(returns, 38, net.C.common(38)), rolling.window_ends(returns, 38), 5, net.C.min_peers)
     assert {r.t_end: r.ntl for r in alone.collect()} == pytest.approx({t: v for (m, w, t), v in got.items() if (m, w) == ("spearman", 38)})
     assert net.C.windows == (120, 240, 360, 480)
+
+
+@pytest.mark.parametrize("method", ["mantegna", "spearman", "symbolic"])
+def test_replica_distances_equal_the_joins(spark, monkeypatch, method):
+    rng = np.random.default_rng(11)
+    rows = []
+    for rep in (1, 2):
+        for node in "abcdef":
+            for t in range(40):
+                if node in "abc" or rng.random() > 0.25:
+                    r = 1.0 if node == "c" else float(rng.integers(0, 9))
+                    rows.append((rep, t, node, r, int(r) % 3 + 1))
+    rows += [(2, t, "z", 1.5, 1) for t in (100, 101)]  # no date in common
+    df = spark.createDataFrame(rows, "rep int, t int, node string, r double, symbol int")
+    told = lambda d: {(x.rep, x.i, x.j): (x.n_common, None if x.w is None else round(x.w, 9)) for x in d.collect()}
+    compact = told(distance.replica_distances(df, method, 25, 100))
+    assert compact == told(distance.replica_distances(df, method, 25, distance.PANEL_VALUES + 1))
+    assert any(w is None for _, w in compact.values())
+    assert distance.replica_distances(df.limit(0), method, 25, 0).count() == 0

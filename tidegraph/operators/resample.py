@@ -24,12 +24,12 @@ def normal(*keys) -> Column:
     return F.sqrt(-2 * F.ln(1 - uniform(*keys, "a"))) * F.cos(2 * np.pi * uniform(*keys, "b"))
 
 
-def replicas(df: DataFrame, n: int) -> DataFrame:
-    """Every row with ``rep`` from 1 to ``n``; ``df`` is an aggregate (nodes by dates), not raw data."""
-    return df.select(F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"), "*")
+def replicas(df: DataFrame, n: int, first: int = 1) -> DataFrame:
+    """Every row with ``n`` numbers ``rep`` from ``first`` on; ``df`` is an aggregate (nodes by dates), not raw data."""
+    return df.select(F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("rep"), "*")
 
 
-def null_panel(returns: DataFrame, n: int, kind: str, seed: int = 42) -> DataFrame:
+def null_panel(returns: DataFrame, n: int, kind: str, seed: int = 42, first: int = 1) -> DataFrame:
     """``rep, t, node, r`` with the dependence between nodes broken; each node keeps its own values and dates.
 
     ``permutation`` shuffles a node's values over its dates, ``circular_shift`` rolls them by a number of places from 0 (if there are more than 2), ``phase`` keeps the
@@ -37,18 +37,21 @@ def null_panel(returns: DataFrame, n: int, kind: str, seed: int = 42) -> DataFra
     """
     base = returns.select("t", "node", "r")
     if kind == "phase":
-        return replicas(base, n).groupBy("rep", "node").applyInPandas(_phases(seed), "rep int, t int, node string, r double")
-    place, size = F.row_number().over(Window.partitionBy("node").orderBy("t")) - 1, F.count("*").over(Window.partitionBy("node"))
-    placed = replicas(base.select("*", place.alias("place"), size.alias("size")), n)
+        return replicas(base, n, first).groupBy("rep", "node").applyInPandas(_phases(seed), "rep int, t int, node string, r double")
+    # a node's values are one array, as long as the calendar; each replica is spread over the tasks with its nodes
+    lists = base.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("t", "r"))).alias("v"))
+    width = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = replicas(lists, n, first).repartition(width, "rep")
+    size = F.size("v")
     if kind == "permutation":
-        shuffled = F.row_number().over(Window.partitionBy("rep", "node").orderBy(F.xxhash64(F.lit(seed), "rep", "node", "t"), "t")) - 1
-        moved = placed.select("rep", "node", "r", shuffled.alias("place"))
+        mixed = F.sort_array(F.transform("v", lambda x: F.struct(F.xxhash64(F.lit(seed), "rep", "node", x["t"]).alias("h"), x["t"].alias("t"), x["r"].alias("r"))))
     elif kind == "circular_shift":
-        shift = F.when(F.col("size") > 2, F.floor(uniform(seed, F.col("rep"), F.col("node")) * F.col("size"))).otherwise(0)
-        moved = placed.select("rep", "node", "r", ((F.col("place") + shift) % F.col("size")).cast("int").alias("place"))
+        shift = F.when(size > 2, F.floor(uniform(seed, F.col("rep"), F.col("node")) * size)).otherwise(0).cast("int")
+        mixed = F.concat(F.slice("v", size - shift + 1, shift), F.slice("v", F.lit(1), size - shift))
     else:
         raise ValueError(kind)
-    return moved.join(placed.select("rep", "node", "place", "t"), ["rep", "node", "place"]).select("rep", "t", "node", "r")
+    moved = F.zip_with("v", mixed, lambda a, b: F.struct(a["t"].alias("t"), b["r"].alias("r")))
+    return drawn.select("rep", "node", F.inline(moved)).select("rep", "t", "node", "r")
 
 
 def _phases(seed: int):
@@ -74,20 +77,20 @@ def block_length(n: int) -> int:
     return max(1, min(max(5, round(n ** (1 / 3))), n // 2))
 
 
-def block_dates(n_dates: int, n: int, spark, seed: int = 42) -> DataFrame:
-    """``rep, t, src``: for each place of a resampled calendar the date that a moving block puts there."""
-    size = block_length(n_dates)
+def block_dates(n_dates: int, n: int, spark, seed: int = 42, first: int = 1, size: int | None = None) -> DataFrame:
+    """``rep, t, src``: for each place of a resampled calendar the date that a moving block (of ``size``, or ``block_length``) puts there."""
+    size = size or block_length(n_dates)
     blocks = -(-n_dates // size)
-    rows = spark.range(n).select((F.col("id") + 1).cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = spark.range(n).select((F.col("id") + first).cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     start = F.floor(uniform(seed, F.col("rep"), F.col("block")) * (n_dates - size + 1)).cast("int")
     placed = rows.select("rep", "block", start.alias("start")).select("rep", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"), "block", "start")
     return placed.select("rep", (F.col("block") * size + F.col("k")).alias("t"), (F.col("start") + F.col("k")).alias("src")).where(F.col("t") < n_dates)
 
 
-def bootstrap_panel(returns: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def bootstrap_panel(returns: DataFrame, n: int, seed: int = 42, first: int = 1) -> DataFrame:
     """``rep, t, node, r``: blocks of dates drawn jointly for all nodes."""
     n_dates = returns.agg(F.max("t") + 1).first()[0] or 0
-    drawn = block_dates(n_dates, n, returns.sparkSession, seed)
+    drawn = block_dates(n_dates, n, returns.sparkSession, seed, first)
     return drawn.join(returns.select(F.col("t").alias("src"), "node", "r"), "src").select("rep", "t", "node", "r")
 
 
@@ -112,7 +115,7 @@ def order_statistic_test(observed: DataFrame, null_weights: DataFrame, ci: tuple
     """One row a rank of the sorted tree edges: the observed weight against its null distribution.
 
     ``observed``: ``rank, w``; ``null_weights``: ``rep, rank, w``. Columns: observed, ci_low, ci_high, null_mean, null_std, z (null without spread), p_two, p_one (the observed one is
-    smaller), both adjusted, flags, replicas.
+    smaller), both adjusted, flags (``sig_raw``: outside the interval), replicas.
     """
     joined = null_weights.select("rank", F.col("w").alias("v")).join(observed.select("rank", F.col("w").alias("observed")), "rank")
     n, o, v = F.count("*"), F.col("observed"), F.col("v")
@@ -126,7 +129,8 @@ def order_statistic_test(observed: DataFrame, null_weights: DataFrame, ci: tuple
     )
     two = adjusted(rows, "p_two").withColumnRenamed("p_bh", "p_two_bh").drop("p_holm")
     both = adjusted(two, "p_one").withColumnRenamed("p_bh", "p_one_bh").drop("p_holm")
-    return both.withColumns({"sig_raw": F.col("p_two") < alpha, "sig_bh": F.col("p_two_bh") < alpha, "sig_bh_one": F.col("p_one_bh") < alpha})
+    outside = (F.col("observed") < F.col("ci_low")) | (F.col("observed") > F.col("ci_high"))
+    return both.withColumns({"sig_raw": outside, "sig_bh": F.col("p_two_bh") < alpha, "sig_bh_one": F.col("p_one_bh") < alpha})
 
 
 def null_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -204,18 +208,20 @@ def perturbed(edges: DataFrame, ks: tuple[int, ...], n: int, seed: int = 42) ->
     """``k, rep, i, j, w``: in each replica k edges drawn at random get noise of a tenth of their weight (0.01 where it is about nought), at least 0.001 in the end."""
     cells = replicas(edges.select("i", "j", "w"), n).select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "*")
     place = F.row_number().over(Window.partitionBy("k", "rep").orderBy(F.xxhash64(F.lit(seed), "k", "rep", "i", "j"), "i", "j"))
-    sd = F.when(F.abs("w") < 1e-12, 0.01).otherwise(0.1 * F.col("w"))
+    sd = F.when(F.abs("w") < 1e-9, 0.01).otherwise(0.1 * F.col("w"))
     noisy = F.greatest(F.lit(0.001), F.col("w") + sd * normal(seed, F.col("k"), F.col("rep"), F.col("i"), F.col("j")))
     return cells.withColumn("place", place).select("k", "rep", "i", "j", F.when(F.col("place") <= F.col("k"), noisy).otherwise(F.col("w")).alias("w"))
 
 
 def perturbation_robustness(edges: DataFrame, ks: tuple[int, ...], n: int, seed: int = 42) -> DataFrame:
-    """``k_perturbed, n_replicas`` and mean, deviation (population), least, quartiles of the overlap of perturbed trees with the first one."""
+    """``k_perturbed, n_replicas`` and mean, deviation (population), least, quartiles of the overlap of perturbed trees with the first one; a k above the number of edges is left out."""
+    n_edges = edges.count()
+    ks = tuple(k for k in ks if k <= n_edges) or (0,)
     tree = spanning_trees(edges).select("i", "j", F.lit(1).alias("hit"))
     size = tree.count()
     trees = spanning_trees(perturbed(edges, ks, n, seed), ("k", "rep"))
     shared = trees.join(tree, ["i", "j"], "left").groupBy("k", "rep").agg(F.count("hit").alias("s"), F.count("*").alias("m"))
-    j = shared.select("k", (F.col("s") / (F.col("m") + size - F.col("s"))).alias("x"))
+    j = shared.where("k > 0").select("k", (F.col("s") / (F.col("m") + size - F.col("s"))).alias("x"))
     return j.groupBy(F.col("k").alias("k_perturbed")).agg(
         F.count("*").alias("n_replicas"), F.avg("x").alias("jaccard_mean"), F.stddev_pop("x").alias("jaccard_std"), F.min("x").alias("jaccard_min"),
         F.percentile("x", 0.25).alias("jaccard_q25"), F.percentile("x", 0.5).alias("jaccard_median"), F.percentile("x", 0.75).alias("jaccard_q75"),

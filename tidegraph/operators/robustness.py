@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.distance import symbolic
-from tidegraph.operators.graph import betweenness, both_ways, branches, degrees, edge_jaccard, finite, hubs, spanning_trees
+from tidegraph.operators.graph import betweenness, both_ways, branches, degrees, drop_isolated, edge_jaccard, finite, hubs, largest_component, spanning_trees
 from tidegraph.operators.symbols import symbolize, thresholds
 from tidegraph.plans.runtime import cut_lineage
 
@@ -42,25 +42,48 @@ def tree_agreement(trees: DataFrame) -> DataFrame:
     return edge_jaccard(a, b, ("pair",))
 
 
-def leave_one_out(edges: DataFrame, top: int = 5) -> DataFrame:
-    """``excluded, degree, new_hub, new_hub_degree, new_ntl, n_edges, jaccard``: the tree without each of the ``top`` nodes of highest degree (ties by name).
+def snapshot_row(tree: DataFrame) -> DataFrame:
+    """One row: ``hub, hub_degree, tied, co_hubs`` (the other nodes of that degree), the leader by betweenness, and the shortest and longest edge of a tree. Ties by name."""
+    degree, between = degrees(tree), betweenness(branches(tree))
+    hub = hubs(degree, between)
+    peers = degree.join(hub, (F.col("degree") == F.col("hub_degree")) & (F.col("node") != F.col("hub")))
+    co = peers.agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("co_hubs"))
+    lead = between.agg(F.min(F.struct((-F.round("betweenness", 9)).alias("b"), "node", "betweenness")).alias("x")).select(F.col("x.node").alias("leader"), F.col("x.betweenness").alias("leader_betweenness"))
+    order = F.struct("w", "i", "j")
+    ends = tree.agg(F.min(order).alias("a"), F.max(order).alias("b"))
+    name = lambda e: F.concat_ws("-", f"{e}.i", f"{e}.j")
+    ends = ends.select(name("a").alias("min_edge"), F.col("a.w").alias("min_w"), name("b").alias("max_edge"), F.col("b.w").alias("max_w"))
+    return hub.join(F.broadcast(co)).join(F.broadcast(lead)).join(F.broadcast(ends))  # one row each
 
-    Distances of other pairs don't change, so they are used again. The Jaccard index is against the first tree's edges without the node.
+
+def leave_one_out(edges: DataFrame, top: int = 5, nodes: list[str] | None = None, min_peers: int = 1) -> DataFrame:
+    """``excluded, degree, new_hub, new_hub_degree, new_ntl, n_edges, jaccard``: the tree without each of the ``top`` nodes of highest degree (ties by name), or without each of ``nodes``.
+
+    Distances of other pairs don't change, so they are used again; nodes that lose their ``min_peers`` or the largest component with the removal go too. The Jaccard index is against the first
+    tree's edges without the node. A node that isn't in the tree gives no row.
     """
     tree = spanning_trees(edges)
-    best = degrees(tree).withColumn("k", F.row_number().over(Window.orderBy(F.desc("degree"), "node"))).where(F.col("k") <= top).select(F.col("node").alias("excluded"), "degree")  # one row a node
-    out = F.broadcast(best)
+    best = degrees(tree).select(F.col("node").alias("excluded"), "degree")
+    best = cut_lineage(best.where(F.col("excluded").isin(nodes)) if nodes is not None else best.orderBy(F.desc("degree"), "excluded").limit(top))
+    out = F.broadcast(best)  # a row a node left out
     without = lambda df: df.join(out, (F.col("i") != F.col("excluded")) & (F.col("j") != F.col("excluded")))
-    fresh = cut_lineage(spanning_trees(without(finite(edges)).select("excluded", "i", "j", "w"), ("excluded",)))
     key = ("excluded",)
+    met = cut_lineage(drop_isolated(without(finite(edges)).select("excluded", "i", "j", "w"), min_peers, key))
+    inside = largest_component(met, key)
+    for end in ("i", "j"):
+        met = met.join(inside.withColumnRenamed("node", end), ["excluded", end], "left_semi")
+    fresh = cut_lineage(spanning_trees(met.select("excluded", "i", "j", "w"), key))
     hub = hubs(degrees(fresh, key), betweenness(branches(fresh, key), key), key).select("excluded", F.col("hub").alias("new_hub"), F.col("hub_degree").alias("new_hub_degree"))
     mean = fresh.groupBy("excluded").agg(F.avg("w").alias("new_ntl"), F.count("*").alias("n_edges"))
-    met = edge_jaccard(without(tree.select("i", "j")).select("excluded", "i", "j"), fresh.select("excluded", "i", "j"), ("excluded",))
-    return best.join(hub, "excluded").join(mean, "excluded").join(met.select("excluded", "jaccard"), "excluded")
+    shared = edge_jaccard(without(tree.select("i", "j")).select("excluded", "i", "j"), fresh.select("excluded", "i", "j"), key)
+    return best.join(hub, "excluded").join(mean, "excluded").join(shared.select("excluded", "jaccard"), "excluded")
 
 
 def partition_robustness(returns: DataFrame, pairs: list[tuple[str, float, float]], least: int, min_common: int) -> DataFrame:
-    """``partition, ntl, delta_ntl_pct, r_distance, jaccard`` for quantile pairs (name, low, high); the first one is the base."""
+    """``partition, ntl, delta_ntl_pct, r_distance, jaccard, status`` for quantile pairs (name, low, high); the first one is the base.
+
+    ``status`` is ``base``, ``ok``, ``disconnected`` (a forest) or ``no tree`` (all other columns are null).
+    """
     parts = None
     for name, low, high in pairs:
         symbols = symbolize(returns, thresholds(returns, (low, high), least))
@@ -69,7 +92,7 @@ def partition_robustness(returns: DataFrame, pairs: list[tuple[str, float, float
     edges = finite(parts)
     trees = spanning_trees(edges, ("partition",))
     base = pairs[0][0]
-    ntl = trees.groupBy("partition").agg(F.avg("w").alias("ntl"))
+    ntl = trees.groupBy("partition").agg(F.avg("w").alias("ntl"), (F.count("*") == F.max("n_nodes") - 1).alias("whole"))
     first = ntl.where(F.col("partition") == base).select(F.col("ntl").alias("base_ntl"))
     mine = edges.select("partition", "i", "j", "w").join(edges.where(F.col("partition") == base).select("i", "j", F.col("w").alias("b")), ["i", "j"])
     r = mine.groupBy("partition").agg(F.covar_pop("w", "b").alias("c"), F.var_pop("w").alias("x"), F.var_pop("b").alias("y"))
@@ -77,8 +100,11 @@ def partition_robustness(returns: DataFrame, pairs: list[tuple[str, float, float
     names = trees.select("partition").distinct()
     original = trees.where(F.col("partition") == base).select("i", "j").join(F.broadcast(names))  # one row a partition
     met = edge_jaccard(original.select("partition", "i", "j"), trees.select("partition", "i", "j"), ("partition",)).select("partition", "jaccard")
-    out = ntl.join(F.broadcast(first)).join(r, "partition").join(met, "partition")
-    return out.select("partition", "ntl", (100 * (F.col("ntl") / F.col("base_ntl") - 1)).alias("delta_ntl_pct"), "r_distance", "jaccard")
+    out = ntl.join(F.broadcast(first)).join(r, "partition").join(met, "partition")  # one row
+    asked = returns.sparkSession.createDataFrame([(name,) for name, _, _ in pairs], "partition string")
+    status = F.when(F.col("whole").isNull(), "no tree").when(~F.col("whole"), "disconnected").when(F.col("partition") == base, "base").otherwise("ok")
+    rows = asked.join(out, "partition", "left")
+    return rows.select("partition", "ntl", (100 * (F.col("ntl") / F.col("base_ntl") - 1)).alias("delta_ntl_pct"), "r_distance", "jaccard", status.alias("status"))
 
 
 def module_correlation(rho: DataFrame, sectors: DataFrame) -> DataFrame:

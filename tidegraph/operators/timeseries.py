@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.resample import block_dates
+from tidegraph.operators.resample import block_dates, block_length
 
 # Response surfaces of the unit-root test (MacKinnon 1994), constant and constant with trend:
 # largest value of the small-p polynomial, bounds, coefficients of the two polynomials.
@@ -133,7 +133,7 @@ def bootstrap_band(series: DataFrame, said: str, n: int, ci: tuple[float, float]
     """``t, value, low, high, scheme``: pointwise quantiles of block-bootstrapped copies of one series (``t, value``).
 
     Blocks of levels for a stationary series, of residuals from a line for a trend-stationary one, of differences (summed up from the first value) for a unit root and, marked as a
-    fallback, for anything else. Fewer than 20 values raise an error.
+    fallback, for anything else; the length of a block follows from the number of values. Fewer than 20 values raise an error.
     """
     rows = series.where(F.col("value").isNotNull()).select("t", "value", (F.row_number().over(Window.orderBy("t")) - 1).alias("p"))  # one row a date
     size = rows.count()
@@ -151,7 +151,7 @@ def bootstrap_band(series: DataFrame, said: str, n: int, ci: tuple[float, float]
     else:
         first = rows.where("p = 0").first()["value"]
         steps = rows.select(F.col("p").alias("src"), (F.lead("value").over(Window.orderBy("p")) - F.col("value")).alias("d")).where("d is not null")
-        moved = block_dates(size - 1, n, series.sparkSession, seed).join(steps, "src")
+        moved = block_dates(size - 1, n, series.sparkSession, seed, size=block_length(size)).join(steps, "src")
         summed = F.sum("d").over(Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
         start = series.sparkSession.range(n).select((F.col("id") + 1).cast("int").alias("rep"), F.lit(0).alias("p"), F.lit(first).alias("v"))
         drawn = moved.select("rep", (F.col("t") + 1).alias("p"), (first + summed).alias("v")).unionByName(start)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators import distance, graph, regression, resample, rolling, timeseries
+from tidegraph.operators import distance, graph, regression, resample, rolling, symbols, timeseries
 from tidegraph.plans import network as net
 from tidegraph.plans.runtime import cut_lineage
 
@@ -28,21 +28,52 @@ def query(sql: str | None = None):
     return add
 
 
-def _observed(returns: DataFrame) -> DataFrame:
-    return cut_lineage(graph.spanning_trees(net.backbone(distance.mantegna(returns, net.C.min_common))))
+def _observed(returns: DataFrame, method: str = "mantegna") -> DataFrame:
+    return cut_lineage(graph.spanning_trees(net.backbone(net.distances(returns, method))))
 
 
-def _null_trees(returns: DataFrame, kind: str, n: int = net.C.replicas) -> DataFrame:
+def _of_tree(returns: DataFrame, tree: DataFrame) -> DataFrame:
+    """The returns of the nodes of a tree: replicas are drawn over the observed universe."""
+    return cut_lineage(returns.join(graph.degrees(tree).select("node"), "node", "left_semi"))
+
+
+def _edges(returns: DataFrame, panel: DataFrame, method: str) -> DataFrame:
+    """Distances of replica panels of returns. Symbols keep the thresholds of the observed returns."""
+    n_values = returns.count()
+    if method == "symbolic":
+        panel = symbols.symbolize(panel, symbols.thresholds(returns, net.C.quantiles, net.C.min_symbol_obs)).select("rep", "t", "node", "symbol")
+    return distance.replica_distances(panel, method, net.C.min_common, n_values)
+
+
+def _spanning(returns: DataFrame, draw: Callable[[int, int], DataFrame], method: str, n: int = net.C.replicas) -> DataFrame:
+    """``rep, step, i, j, w``: ``n`` trees of replicas that span all nodes. Where some don't, more are drawn, at most ``attempts`` times as many as asked for; too few valid ones are an error."""
+    nodes = returns.select("node").distinct().count()
+    parts, drawn, valid = [], 0, 0
+    while valid < n and drawn < net.C.attempts * n:
+        more = min(n - valid, net.C.attempts * n - drawn)
+        edges = graph.drop_isolated(_edges(returns, draw(more, drawn + 1), method), net.C.min_peers, ("rep",))
+        trees = graph.spanning_trees(edges, ("rep",)).select("rep", "step", "i", "j", "w", "n_nodes", F.count("*").over(Window.partitionBy("rep")).alias("k"))
+        parts.append(cut_lineage(trees.where((F.col("k") == nodes - 1) & (F.col("n_nodes") == nodes)).select("rep", "step", "i", "j", "w")))
+        valid += parts[-1].select("rep").distinct().count()
+        drawn += more
+    if drawn and nodes > 1 and valid < max(min(30, n), 0.6 * n):
+        raise ValueError(f"only {valid} of {drawn} replicas have a tree of all nodes")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _null_trees(returns: DataFrame, kind: str, method: str = "mantegna") -> DataFrame:
     """Trees of null panels, keyed by ``rep``."""
-    edges = distance.mantegna(resample.null_panel(returns, n, kind), net.C.min_common, ("rep",))
-    return cut_lineage(graph.spanning_trees(graph.drop_isolated(edges, net.C.min_peers, ("rep",)), ("rep",)))
+    return _spanning(returns, lambda n, first: resample.null_panel(returns, n, kind, first=first), method)
+
+
+def _test_of(returns: DataFrame, tree: DataFrame, kind: str, method: str) -> DataFrame:
+    weights = _null_trees(_of_tree(returns, tree), kind, method).select("rep", F.col("step").alias("rank"), "w")
+    return resample.order_statistic_test(tree.select(F.col("step").alias("rank"), "w"), weights)
 
 
 def _test(spark, sf_dir, kind: str) -> DataFrame:
     returns = net.brand_returns(spark, sf_dir)
-    tree = _observed(returns)
-    weights = resample.ranked_weights(_null_trees(returns, kind), net._universe(returns))
-    return resample.order_statistic_test(tree.select(F.col("step").alias("rank"), "w"), weights)
+    return _test_of(returns, _observed(returns), kind, "mantegna")
 
 
 @query()
@@ -60,9 +91,33 @@ def mc_edge_test_phase(spark, sf_dir):
     return _test(spark, sf_dir, "phase")
 
 
+NULLS = ("permutation", "circular_shift")
+
+
+def _tests(spark, sf_dir) -> DataFrame:
+    """The order statistic test of every method against both nulls: ``method, null_model, rank, ...``."""
+    returns = net.brand_returns(spark, sf_dir)
+    trees = {m: _observed(returns, m) for m in net.METHODS}
+    return reduce(DataFrame.unionByName, [net._keyed(cut_lineage(_test_of(returns, tree, kind, m)), method=m, null_model=kind) for m, tree in trees.items() for kind in NULLS])
+
+
+@query()
+def mc_edge_test_runs(spark, sf_dir):
+    return _tests(spark, sf_dir)
+
+
 @query()
 def null_model_agreement(spark, sf_dir):
-    return resample.null_agreement(_test(spark, sf_dir, "permutation"), _test(spark, sf_dir, "circular_shift"))
+    returns = net.brand_returns(spark, sf_dir)
+    tree = _observed(returns)
+    return resample.null_agreement(*(cut_lineage(_test_of(returns, tree, kind, "mantegna")) for kind in NULLS))
+
+
+@query()
+def null_model_agreement_runs(spark, sf_dir):
+    rows = cut_lineage(_tests(spark, sf_dir))
+    of = lambda m, kind: rows.where((F.col("method") == m) & (F.col("null_model") == kind))
+    return reduce(DataFrame.unionByName, [net._keyed(resample.null_agreement(*(of(m, kind) for kind in NULLS)), method=m) for m in net.METHODS])
 
 
 @query()
@@ -73,14 +128,35 @@ def jaccard_expected(spark, sf_dir):
 @query()
 def degree_distribution_test(spark, sf_dir):
     returns = net.brand_returns(spark, sf_dir)
-    return resample.degree_test(_observed(returns), _null_trees(returns, "permutation"), net.C.random_trees)
+    tree = _observed(returns)
+    return resample.degree_test(tree, _null_trees(_of_tree(returns, tree), "permutation"), net.C.random_trees)
+
+
+@query()
+def degree_distribution_test_runs(spark, sf_dir):
+    returns = net.brand_returns(spark, sf_dir)
+    trees = {m: _observed(returns, m) for m in net.METHODS}
+    runs = [(m, kind, resample.degree_test(tree, _null_trees(_of_tree(returns, tree), kind, m), net.C.random_trees)) for m, tree in trees.items() for kind in NULLS]
+    return reduce(DataFrame.unionByName, [net._keyed(rows, method=m, null_panel=kind) for m, kind, rows in runs])
+
+
+def _support(returns: DataFrame, method: str) -> DataFrame:
+    """Bootstrap replicas of the method's tree; those that don't span the nodes are not replaced, ``n_valid`` tells how many do."""
+    tree = _observed(returns, method)
+    kept = _of_tree(returns, tree)
+    trees = cut_lineage(graph.spanning_trees(_edges(kept, resample.bootstrap_panel(kept, net.C.replicas), method), ("rep",)))
+    return resample.edge_support(tree, trees, net._universe(kept))
 
 
 @query()
 def edge_bootstrap_support(spark, sf_dir):
+    return _support(net.brand_returns(spark, sf_dir), "mantegna")
+
+
+@query()
+def edge_bootstrap_support_runs(spark, sf_dir):
     returns = net.brand_returns(spark, sf_dir)
-    edges = distance.mantegna(resample.bootstrap_panel(returns, net.C.replicas), net.C.min_common, ("rep",))
-    return resample.edge_support(_observed(returns), cut_lineage(graph.spanning_trees(edges, ("rep",))), net._universe(returns))
+    return reduce(DataFrame.unionByName, [net._keyed(_support(returns, m), method=m) for m in net.METHODS])
 
 
 @query()
@@ -199,6 +275,19 @@ def mrqap_freedman_lane(spark, sf_dir):
     return net._r(regression.mrqap_freedman_lane(_variables(spark, sf_dir), "symbolic", _XS, net.C.replicas), "beta", "t_obs")
 
 
+SPECS = {"A": ["mantegna", "same_sector"], "B": ["spearman", "same_sector"], "C": _XS}
+
+
+@query()
+def symbolic_non_redundancy(spark, sf_dir):
+    """Two sensitivity models and the joint one: ``spec, predictor, beta, t_obs, vif, p, p_bh``; p is adjusted within the joint model only."""
+    rows = _variables(spark, sf_dir)
+    fits = {k: net._keyed(regression.mrqap_dsp(rows, "symbolic", xs, net.C.replicas), spec=k) for k, xs in SPECS.items()}
+    joint = resample.adjusted(fits["C"], "p").drop("p_holm")
+    others = fits["A"].unionByName(fits["B"]).withColumn("p_bh", F.lit(None).cast("double"))
+    return net._r(joint.unionByName(others), "beta", "t_obs", "vif")
+
+
 @query()
 def symbolic_residuals(spark, sf_dir):
     return net._r(regression.residual_analysis(_variables(spark, sf_dir), "symbolic", ["mantegna", "spearman"], "same_sector", net.C.replicas), "r2", "mean_diff")

@@ -411,22 +411,50 @@ def convergence_trees(spark, sf_dir):
     return _r(robustness.tree_agreement(trees), "jaccard")
 
 
+def _snapshot(method: str) -> str:
+    k = method
+    return f"""SELECT '{k}' AS method, h.node AS hub, h.degree AS hub_degree, h.degree IN (SELECT degree FROM deg_{k} WHERE node <> h.node) AS tied,
+ coalesce((SELECT string_agg(node, ', ' ORDER BY node) FROM deg_{k} WHERE degree = h.degree AND node <> h.node), '') AS co_hubs, l.node AS leader, round(l.betweenness, 6) AS leader_betweenness,
+ a.i || '-' || a.j AS min_edge, round(a.w, 4) AS min_w, b.i || '-' || b.j AS max_edge, round(b.w, 4) AS max_w
+ FROM (SELECT * FROM deg_{k} JOIN btw_{k} USING (node) ORDER BY degree DESC, round(betweenness, 9) DESC, node LIMIT 1) h, (SELECT * FROM btw_{k} ORDER BY round(betweenness, 9) DESC, node LIMIT 1) l,
+ (SELECT * FROM tree_{k} ORDER BY w, i, j LIMIT 1) a, (SELECT * FROM tree_{k} ORDER BY w DESC, i DESC, j DESC LIMIT 1) b"""
+
+
+_SNAPSHOT_TREES = tuple(x for m in METHODS for x in (_tree(f"d_{m}", f"tree_{m}"), _paths(f"tree_{m}", f"paths_{m}"), _degrees(f"tree_{m}", f"deg_{m}"), _between(f"paths_{m}", f"btw_{m}")))
+
+
+@query(_with(*_ALL, *_SNAPSHOT_TREES) + " UNION ALL ".join(f"({_snapshot(m)})" for m in METHODS))
+def snapshot_rows(spark, sf_dir):
+    returns = brand_returns(spark, sf_dir)
+    rows = [_keyed(robustness.snapshot_row(cut_lineage(graph.spanning_trees(backbone(distances(returns, m))))), method=m) for m in METHODS]
+    return _r(_r(reduce(DataFrame.unionByName, rows), "leader_betweenness"), "min_w", "max_w", places=4)
+
+
 @query(_MT + f""", {_degrees()}, best AS (SELECT node AS excluded, degree FROM deg ORDER BY degree DESC, node LIMIT 5),
 dw AS (SELECT excluded, i, j, w FROM d JOIN best ON i <> excluded AND j <> excluded), {_tree("dw", "nt", "excluded")}, {_paths("nt", "np", "excluded")}, {_degrees("nt", "nd", "excluded")}, {_between("np", "nb", "excluded")},
 nh AS (SELECT excluded, arg_min(node, {{'a': -nd.degree, 'b': -round(betweenness, 9), 'c': node}}) AS new_hub, max(nd.degree) AS new_hub_degree FROM nd JOIN nb USING (excluded, node) GROUP BY excluded)
 SELECT excluded, any_value(degree) AS degree, any_value(new_hub) AS new_hub, any_value(new_hub_degree) AS new_hub_degree, round(avg(nt.w), 6) AS new_ntl, count(*) AS n_edges,
  round(count(t.w) / (count(*) + (SELECT count(*) FROM tree q WHERE q.i <> excluded AND q.j <> excluded) - count(t.w)), 6) AS jaccard FROM nt JOIN best USING (excluded) JOIN nh USING (excluded) LEFT JOIN tree t ON t.i = nt.i AND t.j = nt.j GROUP BY excluded""")
 def leave_one_out(spark, sf_dir):
-    return _r(robustness.leave_one_out(cut_lineage(distances(brand_returns(spark, sf_dir), "mantegna"))), "new_ntl", "jaccard")
+    return _r(robustness.leave_one_out(cut_lineage(distances(brand_returns(spark, sf_dir), "mantegna")), min_peers=C.min_peers), "new_ntl", "jaccard")
+
+
+NAMED = "Brand#13"  #: the node that is left out by name
+
+
+QUERIES["leave_out_named"] = lambda spark, sf_dir: _r(
+    robustness.leave_one_out(cut_lineage(distances(brand_returns(spark, sf_dir), "mantegna")), nodes=[NAMED], min_peers=C.min_peers), "new_ntl", "jaccard"
+)
+SQL["leave_out_named"] = SQL["leave_one_out"].replace("FROM deg ORDER BY degree DESC, node LIMIT 5", f"FROM deg WHERE node = '{NAMED}'")
 
 
 @query(
     _with(*_BRET, *(x for k, (_, a, b) in enumerate(PARTITIONS) for x in (_symbols(f"s{k}", a, b), _distance("symbolic", name=f"d{k}", sym=f"s{k}"))),
           "alld AS (" + " UNION ALL ".join(f"SELECT '{n}' AS partition, i, j, w FROM d{k}" for k, (n, _, _) in enumerate(PARTITIONS)) + ")", _tree("alld", keys="partition"),
-          "ntl AS (SELECT partition, avg(w) AS ntl FROM tree GROUP BY 1)",
+          "ntl AS (SELECT partition, avg(w) AS ntl, count(*) = (SELECT count(DISTINCT node) FROM ret) - 1 AS whole FROM tree GROUP BY 1)",
           f"r AS (SELECT a.partition, {_RHO.replace('x', 'a.w').replace('y', 'b.w')} AS r FROM alld a JOIN alld b ON a.i = b.i AND a.j = b.j AND b.partition = 'thirds' WHERE a.w IS NOT NULL AND b.w IS NOT NULL GROUP BY 1)",
           "jac AS (SELECT t.partition, count(b.w) / (count(*) + (SELECT count(*) FROM tree WHERE partition = 'thirds') - count(b.w)) AS jaccard FROM tree t LEFT JOIN tree b ON b.partition = 'thirds' AND b.i = t.i AND b.j = t.j GROUP BY 1)")
-    + "SELECT partition, round(ntl, 6) AS ntl, round(100 * (ntl / (SELECT ntl FROM ntl WHERE partition = 'thirds') - 1), 6) AS delta_ntl_pct, round(r, 6) AS r_distance, round(jaccard, 6) AS jaccard FROM ntl JOIN r USING (partition) JOIN jac USING (partition)"
+    + "SELECT partition, round(ntl, 6) AS ntl, round(100 * (ntl / (SELECT ntl FROM ntl WHERE partition = 'thirds') - 1), 6) AS delta_ntl_pct, round(r, 6) AS r_distance, round(jaccard, 6) AS jaccard, CASE WHEN NOT whole THEN 'disconnected' WHEN partition = 'thirds' THEN 'base' ELSE 'ok' END AS status FROM ntl JOIN r USING (partition) JOIN jac USING (partition)"
 )
 def partition_robustness(spark, sf_dir):
     return _r(robustness.partition_robustness(brand_returns(spark, sf_dir), PARTITIONS, C.min_symbol_obs, C.min_common), "ntl", "delta_ntl_pct", "r_distance", "jaccard")
@@ -639,7 +667,7 @@ def convergence_rolling_240(spark, sf_dir):
 @query()
 def leave_one_out_runs(spark, sf_dir):
     returns = brand_returns(spark, sf_dir)
-    return _r(reduce(DataFrame.unionByName, [_keyed(robustness.leave_one_out(cut_lineage(distances(returns, m))), method=m) for m in METHODS]), "new_ntl", "jaccard")
+    return _r(reduce(DataFrame.unionByName, [_keyed(robustness.leave_one_out(cut_lineage(distances(returns, m)), min_peers=C.min_peers), method=m) for m in METHODS]), "new_ntl", "jaccard")
 
 
 # ---------------------------------------------------------------- membership
@@ -686,3 +714,21 @@ SELECT coalesce(u.index_code, t.index_code) AS index_code, CAST(coalesce(b, peri
 def turnover_check(spark, sf_dir):
     found = membership.turnover(snapshot_members(table(spark, sf_dir, "ipc_composition_history")), "ticker")
     return _texts(membership.reported_against_found(table(spark, sf_dir, "ipc_turnover_by_ticker"), found), "period_end")
+
+
+def _joined_convergence() -> str:
+    hub = " UNION ALL ".join(f"SELECT '{m}' AS method, hub FROM ({SQL[f'hub_{m}']})" for m in METHODS)
+    return f"""SELECT t.pair, t.jaccard, d.r AS r_distance, n.r AS r_ntl, n.n_shared, a.hub AS hub_a, b.hub AS hub_b FROM ({SQL['convergence_trees']}) t JOIN ({SQL['convergence_distances']}) d ON d.pair = t.pair
+ LEFT JOIN ({SQL['convergence_rolling']}) n ON n.pair = t.pair JOIN ({hub}) a ON a.method = split_part(t.pair, '-', 1) JOIN ({hub}) b ON b.method = split_part(t.pair, '-', 2)"""
+
+
+@query(_joined_convergence())
+def convergence_table(spark, sf_dir):
+    """The three comparisons of each pair of methods and their hubs in one row."""
+    part = lambda name, **as_: QUERIES[name](spark, sf_dir).select("pair", *(F.col(c).alias(a) for c, a in as_.items()))
+    rows = part("convergence_trees", jaccard="jaccard").join(part("convergence_distances", r="r_distance"), "pair").join(part("convergence_rolling", r="r_ntl", n_shared="n_shared"), "pair", "left")
+    hub = reduce(DataFrame.unionByName, [QUERIES[f"hub_{m}"](spark, sf_dir).select(F.lit(m).alias("method"), "hub") for m in METHODS])
+    hub = cut_lineage(hub)
+    for k, end in enumerate("ab"):
+        rows = rows.join(hub.select(F.col("method").alias(f"m{end}"), F.col("hub").alias(f"hub_{end}")), F.split("pair", "-")[k] == F.col(f"m{end}")).drop(f"m{end}")
+    return rows
