@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from tidegraph.llm.mixing import Target, blocks_before, mix, mix_report, pfair_slots, source_offsets, whole_weights
+from tidegraph.llm.mixing import Target, blocks_before, mix, mix_faults, mix_report, pfair_slots, source_offsets, whole_weights
 
 SIZES = "source string, doc_id long, n_tokens long, slot string, offset string"
 
@@ -111,3 +111,12 @@ def test_nothing_to_mix(spark):
     assert mix(sizes(spark, [("b", 1, 5), (None, 2, 5)]), targets).count() == 0
     assert mix(sizes(spark, [("a", 1, 5)]), []).count() == 0
     assert [r.tokens for r in mix_report(mix(sizes(spark, [("a", 1, 0)]), targets), targets).collect()] == [0]
+
+
+def test_faults_are_told(spark):
+    targets = [Target("a", 0.5, 1), Target("b", 0.5, 2), Target("none", 0.2, 1)]
+    rows = [(s, 100 * k + d, 10) for k, s in enumerate("ab") for d in range(50)]
+    mixed = mix(sizes(spark, rows), targets, block=20).cache()
+    assert {tuple(r) for r in mix_faults(mixed, targets).collect()} == {("a", 0, False), ("b", 0, False), ("none", 0, False)}
+    more = mixed.union(mixed.where("source = 'a' and doc_id < 7"))
+    assert {tuple(r) for r in mix_faults(more, targets).collect()} == {("a", 7, True), ("b", 0, True), ("none", 0, False)}

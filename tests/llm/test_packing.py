@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm.packing import RoomTree, best_fit_decreasing, pack_items, pack_report
+from tidegraph.llm.packing import RoomTree, best_fit_decreasing, pack_faults, pack_items, pack_report
 from tidegraph.llm.tokens import RANKS, token_counts, tokenizer
 
 PACKS = [("small", 100), ("large", 1000)]
@@ -101,3 +101,11 @@ def test_token_counts(spark):
             assert enc.decode(enc.encode_ordinary(t)) == t
     assert got[3] >= 40_000
     assert token_counts(df.limit(0), ["doc_id"]).agg(F.sum("n_tokens")).first()[0] is None
+
+
+def test_faults_are_told(spark):
+    sizes = spark.createDataFrame([(1, 30), (2, 150), (3, 0), (3, 20), (None, 5)], "doc_id long, n_tokens long")
+    placed = pack_items(sizes, PACKS).cache()
+    assert {tuple(r) for r in pack_faults(placed, sizes, PACKS).collect()} == {("small", 5, 0, 0, 0), ("large", 5, 0, 0, 0)}
+    lost = placed.where("not (pack_name = 'small' and doc_id <=> 1)").union(placed.where("pack_name = 'large' and doc_id = 2").withColumn("size", F.lit(990)))
+    assert {tuple(r) for r in pack_faults(lost, sizes, PACKS).collect()} == {("small", 4, 0, 0, 0), ("large", 5, 1, 1, 1)}

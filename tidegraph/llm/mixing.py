@@ -162,6 +162,22 @@ def mix_report(mixture: DataFrame, targets: list[Target]) -> DataFrame:
     )
 
 
+def mix_faults(mixture: DataFrame, targets: list[Target]) -> DataFrame:
+    """``source, used_too_often, share_missed``: records used more often than their source's ``max_repeats``, and whether a source is further from its share of the whole than the largest records explain.
+
+    Records are told apart by doc_id, so these have to be unique. Shares are those among the sources that gave anything; others have nothing to miss.
+    """
+    told = mixture.sparkSession.createDataFrame([(t.source, float(t.share), int(t.max_repeats)) for t in targets], "_source string, share double, most int")
+    times = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("largest"))
+    used = times.join(F.broadcast(told), F.col("source") == F.col("_source"))  # a row a target
+    got = used.groupBy("source").agg(F.sum("t").alias("tokens"), F.max("largest").alias("largest"), F.count_if(F.col("times") > F.col("most")).alias("used_too_often"))
+    every = Window.partitionBy()  # one row a target
+    rows = told.join(got, F.col("source") == F.col("_source"), "left")
+    due = F.col("share") / F.sum(F.when(F.col("tokens").isNotNull(), F.col("share"))).over(every) * F.sum("tokens").over(every)
+    slack = F.sum("largest").over(every)
+    return rows.select(F.col("_source").alias("source"), F.coalesce("used_too_often", F.lit(0).cast("long")).alias("used_too_often"), F.coalesce(F.abs(F.col("tokens") - due) > slack, F.lit(False)).alias("share_missed"))
+
+
 def kept(mixture: DataFrame) -> DataFrame:
     """The mixture written to the checkpoint folder, to be read more than once."""
     return cut_lineage(mixture)

@@ -166,3 +166,16 @@ def pack_report(placed: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
     fills = placed.groupBy("pack_name", "container").agg(F.sum("size").alias("size"))
     sums = fills.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"))
     return sums.withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * capacity))
+
+
+def pack_faults(placed: DataFrame, sizes: DataFrame, packs: list[tuple[str, int]], item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """``pack_name, items, over_full, cut_needlessly, incomplete``: items placed, containers above their capacity, items cut though they fit into one, and items whose parts don't sum up to them."""
+    capacity = F.element_at(F.create_map(*(F.lit(x) for n, c in packs for x in (n, int(c)))), F.col("pack_name"))
+    over = placed.groupBy("pack_name", "container").agg(F.sum("size").alias("s")).groupBy("pack_name").agg(F.count_if(F.col("s") > capacity).alias("over_full"))
+    parts = placed.groupBy("pack_name", F.col(item).alias("item")).agg(F.sum("size").alias("s"), F.count("*").alias("pieces"))
+    told = sizes.groupBy(F.col(item).alias("_item")).agg(F.sum(F.coalesce(size, F.lit(0))).alias("total"), F.max(size).alias("largest"), F.count("*").alias("n"))
+    both = parts.join(told, F.col("item").eqNullSafe(F.col("_item")), "left")
+    sums = both.groupBy("pack_name").agg(
+        F.sum("n").alias("items"), F.count_if((F.col("largest") <= capacity) & (F.col("pieces") > F.col("n"))).alias("cut_needlessly"), F.count_if(~F.col("s").eqNullSafe(F.col("total"))).alias("incomplete")
+    )
+    return sums.join(over, "pack_name").select("pack_name", "items", "over_full", "cut_needlessly", "incomplete")
