@@ -365,3 +365,23 @@ def test_replica_distances_equal_the_joins(spark, monkeypatch, method):
     assert compact == told(distance.replica_distances(df, method, 25, distance.PANEL_VALUES + 1))
     assert any(w is None for _, w in compact.values())
     assert distance.replica_distances(df.limit(0), method, 25, 0).count() == 0
+
+
+def test_adjusted_close_and_export(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 9.0), (None, 2.0, 9.0), (math.nan, 3.0, 9.0), (None, None, 9.0)], "adj double, close_adj double, close double")
+    assert [r.price for r in panel.adjusted_close(rows, "adj", "close_adj").collect()] == [1.0, 2.0, 3.0, None]
+    series = spark.createDataFrame([(0, "2020-01-03", 1.0), (1, "2020-01-10", None), (2, "2020-01-17", 2.0)], "t_end int, date string, ntl double")
+    band = spark.createDataFrame([(0, 0.5, 1.5)], "t int, low double, high double")
+    assert sorted(map(tuple, rolling.banded_series(series, band).collect())) == [("2020-01-03", 1.0, 0.5, 1.5), ("2020-01-17", 2.0, None, None)]
+
+
+def test_snapshot_row(spark):
+    tree = graph.spanning_trees(edges(spark, [("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 3.0)]))
+    assert tuple(robustness.snapshot_row(tree).first()) == ("b", 2, True, "c", "b", 2 / 3, "a-b", 1.0, "c-d", 3.0)
+
+
+def test_leave_out_named_and_what_falls_off(spark):
+    # without the middle, the tail is no longer part of the largest component
+    rows = [("a", "b", 1.0), ("b", "c", 1.1), ("a", "c", 1.2), ("c", "m", 2.0), ("m", "y", 2.1), ("y", "z", 2.2)]
+    got = robustness.leave_one_out(edges(spark, rows), nodes=["m", "nobody"]).collect()
+    assert [(r.excluded, r.degree, r.n_edges) for r in got] == [("m", 2, 2)]

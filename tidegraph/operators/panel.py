@@ -18,6 +18,11 @@ def calendar(panel: DataFrame) -> DataFrame:
     return panel.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("t"))
 
 
+def adjusted_close(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``price``, the first of the adjusted closes in ``columns`` that is neither null nor NaN; null if none is. A raw close is never taken in their place."""
+    return rows.withColumn("price", F.coalesce(*(F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns)))
+
+
 def coverage(panel: DataFrame, threshold: float, sectors: DataFrame | None = None) -> DataFrame:
     """``node, coverage, sector, included, n_valid_days``: the share of all dates on which a node has a price."""
     total = panel.agg(F.countDistinct("date").alias("dates"))

@@ -155,3 +155,9 @@ def episodes(banded: DataFrame) -> DataFrame:
         F.min_by(F.when(v > hi, "fragmentation").otherwise("integration"), "t_end").alias("direction"),
         F.avg(v).alias("ntl_mean"), F.avg(size).alias("magnitude_mean"), F.max(size).alias("magnitude_max"),
     ).drop("run")
+
+
+def banded_series(series: DataFrame, band: DataFrame) -> DataFrame:
+    """``Date, NTL, CI_low, CI_high``, as it is exported: the series (``t_end, date, ntl``) with its band (``t, low, high``); windows without a value are left out."""
+    joined = series.where(F.col("ntl").isNotNull()).join(band.select(F.col("t").alias("t_end"), "low", "high"), "t_end", "left")
+    return joined.select(F.col("date").cast("string").alias("Date"), F.col("ntl").alias("NTL"), F.col("low").alias("CI_low"), F.col("high").alias("CI_high"))

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     # Thresholds of the published analysis.
-    coverage: float = 0.80
     min_common: int = 120
     min_common_share: float = 0.9
     min_peers: int = 3
@@ -24,7 +23,6 @@ class Config:
     attempts: int = 5
     perturbed: tuple[int, ...] = (1, 5, 10, 20, 50)
     perturbation_replicas: int = 100
-    seed: int = 42
 
     def common(self, window: int | None = None) -> int:
         """Least number of common observations: of a snapshot, or of a window."""

@@ -68,7 +68,7 @@ def _null_trees(returns: DataFrame, kind: str, method: str = "mantegna") -> Data
 
 def _test_of(returns: DataFrame, tree: DataFrame, kind: str, method: str) -> DataFrame:
     weights = _null_trees(_of_tree(returns, tree), kind, method).select("rep", F.col("step").alias("rank"), "w")
-    return resample.order_statistic_test(tree.select(F.col("step").alias("rank"), "w"), weights)
+    return resample.order_statistic_test(tree.select(F.col("step").alias("rank"), "w"), weights, net.C.link_ci)
 
 
 def _test(spark, sf_dir, kind: str) -> DataFrame:
@@ -196,7 +196,13 @@ def ntl_band(spark, sf_dir):
     kept = series.where(F.col("value").isNotNull())
     if said is None or said["n_obs"] < 20:  # no band for so short a series
         return kept.select("t", "value", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("too short").alias("scheme"))
-    return timeseries.bootstrap_band(series.select("t", "value"), said["conclusion"], net.C.band_replicas)
+    return timeseries.bootstrap_band(series.select("t", "value"), said["conclusion"], net.C.band_replicas, net.C.band_ci)
+
+
+@query()
+def ntl_export(spark, sf_dir):
+    edges, ends, n = net._rolling(spark, sf_dir, "mantegna")
+    return rolling.banded_series(rolling.rolling_ntl(edges, ends, n, net.C.min_peers), ntl_band(spark, sf_dir))
 
 
 @query()
@@ -229,7 +235,7 @@ def _bands(spark, sf_dir) -> DataFrame:
         for w in net.C.windows:
             one = series.where((F.col("method") == m) & (F.col("window") == w) & F.col("value").isNotNull()).select("t", "value")
             none = F.lit(None).cast("double")
-            rows = timeseries.bootstrap_band(one, said[m, w], net.C.band_replicas) if (m, w) in said else one.select("t", "value", none.alias("low"), none.alias("high"), F.lit("too short").alias("scheme"))
+            rows = timeseries.bootstrap_band(one, said[m, w], net.C.band_replicas, net.C.band_ci) if (m, w) in said else one.select("t", "value", none.alias("low"), none.alias("high"), F.lit("too short").alias("scheme"))
             parts.append(net._keyed(rows, method=m, window=w))
     return cut_lineage(reduce(DataFrame.unionByName, parts))
 

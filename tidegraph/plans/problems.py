@@ -30,6 +30,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suspect_readings(table(spark, sf_dir, "cell_016"), table(spark, sf_dir, "data_provenance")).select("reading_id").distinct()
 
 
+def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suspect readings that break the physical limit."""
+    rows = suspect_readings(table(spark, sf_dir, "cell_016"), table(spark, sf_dir, "data_provenance"))
+    return rows.where("reason = 'impossible'").select("reading_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_sessions(table(spark, sf_dir, "cell_016"), table(spark, sf_dir, "market_sessions"))
 
@@ -51,7 +57,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_coverage_check, p4_found, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_impossible, p3_found, p3_coverage_check, p4_found, p5_found)}
 
 _BLANK = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -97,6 +103,7 @@ FROM (SELECT * FROM isl) GROUP BY index_code, ticker, g HAVING NOT bool_or(next_
 UNION ALL SELECT index_code, ticker, 'membership', CAST(min(effective_date) AS VARCHAR), '9999-12-31' FROM isl GROUP BY index_code, ticker, g HAVING bool_or(next_date IS NULL)
 UNION ALL SELECT index_code, issuer_id, attribute, CAST(effective_date AS VARCHAR),
   coalesce(CAST(lead(effective_date) OVER (PARTITION BY index_code, issuer_id, attribute ORDER BY effective_date) AS VARCHAR), '9999-12-31') FROM starts""",
+    "p2_impossible": "SELECT DISTINCT reading_id FROM cell_016 WHERE adjclose <= 0 AND NOT isnan(adjclose) AND reading_id IS NOT NULL",
     "p3_found": f"""WITH {_GRID} SELECT s.run_id, s.ticker, CAST(c.session_date AS VARCHAR) AS session_day FROM span s JOIN cal c ON c.ord BETWEEN s.a AND s.b
 ANTI JOIN days d ON d.run_id = s.run_id AND d.ticker = s.ticker AND d.ord = c.ord""",
     "p3_coverage_check": f"""WITH {_GRID}, told AS (SELECT run_id, ticker, max(n_valid_days) AS n_declared FROM ticker_coverage GROUP BY ALL)
