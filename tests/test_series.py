@@ -106,6 +106,14 @@ def test_spikes_standstills_and_level_changes(spark):
     assert noted["spike"] == {50, 100, 101, 102}
 
 
+@pytest.mark.parametrize("sd", [0.0005, 0.003, 0.05])
+def test_limits_follow_the_noise_of_the_series(spark, sd):
+    x = np.exp(np.cumsum(np.random.default_rng(31).normal(0, sd, 400))) * 50
+    for k, moves in ((60, 12), (61, 12), (200, -12), (330, 3)):  # the last one is within the usual
+        x[k] *= np.exp(moves * sd)
+    assert found(spark, series(x)) == {"spike": {60, 61, 200}}
+
+
 def test_slices_don_t_show(spark):
     x = walk(3000, 2)
     for k in (0, 5, 700, 701, 1499, 1500, 2250, 2999):

@@ -506,8 +506,8 @@ def ntl_runs(spark, sf_dir) -> DataFrame:
     return rolling_runs(brand_returns(spark, sf_dir), lambda edges, ends, n: rolling.rolling_ntl(edges, ends, n, C.min_peers))
 
 
-def _rolling_distances(method: str) -> tuple[str, ...]:
-    m, within = C.common(WINDOW), f"t BETWEEN t_end - {WINDOW - 1} AND t_end"
+def _rolling_distances(method: str, window: int) -> tuple[str, ...]:
+    m, within = C.common(window), f"t BETWEEN t_end - {window - 1} AND t_end"
     moments = _W.format(m=m).replace("rho", _RHO).replace("n_common", "count(*)")
     unequal = f"CASE WHEN count(*) >= {m} THEN sqrt(count(*) FILTER (x <> y) / count(*)) END"
     whole = f"wr AS MATERIALIZED (SELECT t_end, t, node, r FROM ret JOIN wend ON {within})"
@@ -525,12 +525,12 @@ def _rolling_distances(method: str) -> tuple[str, ...]:
     return pairs.format(k="", v=v, s=s, on=""), f"d AS MATERIALIZED (SELECT t_end, i, j, count(*) AS n_common, {value} AS w FROM pp JOIN wend ON {within} GROUP BY t_end, i, j)"
 
 
-def _rolling_sql(method: str) -> tuple[str, ...]:
+def _rolling_sql(method: str, window: int = WINDOW) -> tuple[str, ...]:
     return (
         *_BRET,
         *((_symbols(),) if method == "symbolic" else ()),
-        f"wend AS (SELECT DISTINCT t AS t_end, date FROM ret WHERE t >= {WINDOW - 1})",
-        *_rolling_distances(method),
+        f"wend AS (SELECT DISTINCT t AS t_end, date FROM ret WHERE t >= {window - 1})",
+        *_rolling_distances(method, window),
         "uni AS (SELECT count(DISTINCT node) AS n FROM ret)",
         "peers AS (SELECT t_end, count(*) FILTER (k >= 3) AS met FROM (SELECT t_end, node, count(*) AS k FROM (SELECT t_end, unnest([i, j]) AS node FROM d WHERE w IS NOT NULL) GROUP BY ALL) GROUP BY 1)",
         _tree("d", "alltree", "t_end"),
@@ -553,8 +553,13 @@ for _method in SPECS:
     _add_rolling(_method)
 
 
-@query("WITH alls AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, t_end, ntl FROM ({_with(*_rolling_sql(m))} SELECT t_end, ntl FROM stat WHERE ntl IS NOT NULL)" for m in METHODS)
-       + f") SELECT a.method || '-' || b.method AS pair, count(*) AS n_shared, CASE WHEN count(*) > 10 THEN round({_RHO.replace('x', 'a.ntl').replace('y', 'b.ntl')}, 6) END AS r FROM alls a JOIN alls b ON a.t_end = b.t_end AND a.method < b.method GROUP BY 1")
+def _rolling_agreement(window: int) -> str:
+    series = " UNION ALL ".join(f"SELECT '{m}' AS method, t_end, ntl FROM ({_with(*_rolling_sql(m, window))} SELECT t_end, ntl FROM stat WHERE ntl IS NOT NULL)" for m in METHODS)
+    r = f"CASE WHEN count(*) > 10 THEN round({_RHO.replace('x', 'a.ntl').replace('y', 'b.ntl')}, 6) END AS r"
+    return f"WITH alls AS ({series}) SELECT a.method || '-' || b.method AS pair, count(*) AS n_shared, {r} FROM alls a JOIN alls b ON a.t_end = b.t_end AND a.method < b.method GROUP BY 1"
+
+
+@query(_rolling_agreement(WINDOW))
 def convergence_rolling(spark, sf_dir):
     returns = brand_returns(spark, sf_dir)
     ends, n = rolling.window_ends(returns, WINDOW), _universe(returns)
@@ -622,22 +627,28 @@ def band_episodes(spark, sf_dir):
 # ---------------------------------------------------------------- every method and window
 
 
-@query()
+def _each_run(name: str, methods=SPECS, windows=C.windows, head: str = _RM) -> str:
+    """The SQL of a query of one run, for every method and window."""
+    tail = SQL[name][len(head) :]
+    return " UNION ALL ".join(f"SELECT '{m}' AS method, {w} AS \"window\", q.* FROM ({_with(*_rolling_sql(m, w))}{tail}) q" for m in methods for w in windows)
+
+
+@query(_each_run("rolling_ntl_mantegna"))
 def rolling_ntl_runs(spark, sf_dir):
     return _r(ntl_runs(spark, sf_dir), "ntl").withColumn("date", F.col("date").cast("string"))
 
 
-@query()
+@query(_each_run("rolling_diagnostics"))
 def rolling_diagnostics_runs(spark, sf_dir):
     return by_run(ntl_runs(spark, sf_dir), rolling.diagnostics)
 
 
-@query()
+@query(_each_run("seasonality_cv"))
 def seasonality_cv_runs(spark, sf_dir):
     return _r(by_run(ntl_runs(spark, sf_dir), rolling.seasonality), "cv_max")
 
 
-@query()
+@query(_each_run("band_episodes"))
 def band_episodes_runs(spark, sf_dir):
     rows = by_run(ntl_runs(spark, sf_dir), lambda series: rolling.episodes(rolling.rolling_band(series, 26, 1.0)))
     return _r(rows, "ntl_mean", "magnitude_mean", "magnitude_max")
@@ -648,23 +659,23 @@ def hub_runs(spark, sf_dir) -> DataFrame:
     return rolling_runs(brand_returns(spark, sf_dir), step, METHODS, C.hub_windows)
 
 
-@query()
+@query(_each_run("hub_stability", METHODS, C.hub_windows))
 def hub_stability_runs(spark, sf_dir):
     return hub_runs(spark, sf_dir)
 
 
-@query()
+@query(_each_run("hub_summary", METHODS, C.hub_windows))
 def hub_summary_runs(spark, sf_dir):
     return _r(by_run(hub_runs(spark, sf_dir), rolling.hub_summary, METHODS, C.hub_windows), "pct")
 
 
-@query()
+@query(_rolling_agreement(240))
 def convergence_rolling_240(spark, sf_dir):
     series = rolling_runs(brand_returns(spark, sf_dir), lambda edges, ends, n: rolling.rolling_ntl(edges, ends, n, C.min_peers), METHODS, (240,))
     return _r(robustness.series_correlation(series.select("method", "t_end", "ntl")), "r")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, q.* FROM ({_with(*_parts(m), _tree())}{SQL['leave_one_out'][len(_MT):]}) q" for m in METHODS))
 def leave_one_out_runs(spark, sf_dir):
     returns = brand_returns(spark, sf_dir)
     return _r(reduce(DataFrame.unionByName, [_keyed(robustness.leave_one_out(cut_lineage(distances(returns, m)), min_peers=C.min_peers), method=m) for m in METHODS]), "new_ntl", "jaccard")
